@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidelog.llm import chat, mixing, secrets
 from tidelog.llm.exact_dedup import exact_dedup
 from tidelog.llm.packing import pack
 from tidelog.llm.token_counts import token_counts
@@ -16,6 +18,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.find_secrets(_table(spark, sf_dir, "documents")))
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("row")
+
+
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"), F.lit(said).alias("text"))
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra.withColumn("turn", F.col("turn").cast("long")))
+    return chat.digests(chat.format_chats(turns))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -41,9 +58,12 @@ SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM g
 """
 
 QUERIES = {
+    "op3_secret_linking": op3,
+    "op4_fair_queue_mixing": op4,
     "op5_bpe_token_counts": op5,
+    "op7_chat_format": op7,
     "op8_open_window_packing": op8,
     "op9_extendible_hash_dedup": op9,
 }
 
-ORACLES = {"op9_extendible_hash_dedup": OP9_SQL}
+ORACLES = {"op4_fair_queue_mixing": mixing.SQL, "op7_chat_format": chat.SQL, "op9_extendible_hash_dedup": OP9_SQL}
