@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat, mixing, secrets
+from tidelog.llm import chat, mixing, quality, secrets, toxicity
 from tidelog.llm.exact_dedup import exact_dedup
 from tidelog.llm.packing import pack
 from tidelog.llm.token_counts import token_counts
@@ -18,6 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_secrets(_table(spark, sf_dir, "documents")))
 
@@ -26,6 +31,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("row")
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"), F.lit(said).alias("text"))
@@ -58,9 +68,11 @@ SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM g
 """
 
 QUERIES = {
+    "op2_quality_discriminant": op2,
     "op3_secret_linking": op3,
     "op4_fair_queue_mixing": op4,
     "op5_bpe_token_counts": op5,
+    "op6_toxicity_grammar": op6,
     "op7_chat_format": op7,
     "op8_open_window_packing": op8,
     "op9_extendible_hash_dedup": op9,
