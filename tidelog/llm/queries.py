@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import chat, mixing, quality, secrets, toxicity
 from tidelog.llm.exact_dedup import exact_dedup
+from tidelog.llm.near_dedup import near_dedup
 from tidelog.llm.packing import pack
 from tidelog.llm.token_counts import token_counts
 
@@ -55,6 +56,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).drop("row")
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents")).drop("row")
+
+
 OP9_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS n_chars,
@@ -76,6 +81,7 @@ QUERIES = {
     "op7_chat_format": op7,
     "op8_open_window_packing": op8,
     "op9_extendible_hash_dedup": op9,
+    "op10_weighted_near_dedup": op10,
 }
 
 ORACLES = {"op4_fair_queue_mixing": mixing.SQL, "op7_chat_format": chat.SQL, "op9_extendible_hash_dedup": OP9_SQL}
