@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidelog.llm import chat, mixing, quality, secrets, toxicity
 from tidelog.llm.exact_dedup import exact_dedup
 from tidelog.llm.near_dedup import near_dedup
+from tidelog.llm.neighbours import nearest
 from tidelog.llm.packing import pack
 from tidelog.llm.token_counts import token_counts
 
@@ -19,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
@@ -73,6 +78,7 @@ SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM g
 """
 
 QUERIES = {
+    "op1_additive_quantisation": op1,
     "op2_quality_discriminant": op2,
     "op3_secret_linking": op3,
     "op4_fair_queue_mixing": op4,
