@@ -135,31 +135,29 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, windows: int = 3
     with open(tokenizer, "rb") as f:
         file = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = docs.schema[key].dataType
-    shape, arrow = f"key {kind.simpleString()}, {SHAPE}", None
+    shape = f"key {kind.simpleString()}, {SHAPE}"
 
-    def batch(rows: list[tuple], part: int, last: bool = False) -> pa.RecordBatch:
+    def batch(rows: list[tuple], part: int, arrow: pa.DataType) -> pa.RecordBatch:
         cols = list(zip(*rows)) if rows else [[]] * 8
         ids = cols[7] if len(cols) == 8 else [None] * len(rows)
         arrays = [pa.array(cols[0], arrow), *(pa.array(c, pa.int64()) for c in cols[1:7])]
         return pa.RecordBatch.from_arrays([*arrays, pa.array([part] * len(rows), pa.int64()), pa.array(ids, pa.binary())], ["key", *(x.split()[0] for x in SHAPE.split(", "))])
 
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nonlocal arrow
-        own, part = encoder(file.value), TaskContext.get().partitionId()
+        own, part, arrow = encoder(file.value), TaskContext.get().partitionId(), None
         packer = Windows(capacity, windows, part << 32)
         for given in batches:
             arrow, keys, rows = given.column(0).type, given.column(0).to_pylist(), []
             for i, ids in own.of(given.column(1).to_pylist()):
                 rows.extend(packer.add(keys[i], np.append(ids, np.uint32(end_id))))
-            yield batch(rows, part)
+            yield batch(rows, part, arrow)
         if arrow is not None:
-            yield batch(list(packer.left()), part)
+            yield batch(list(packer.left()), part, arrow)
 
     def merge(level: int, last: bool):
         def of(group: tuple, given: pa.Table) -> pa.Table:
             """Pieces of some partitions laid end to end and cut anew."""
-            nonlocal arrow
-            arrow, part = given.column("key").type, group[0].as_py()
+            part = group[0].as_py()
             number, offset, rows, waiting = level << 56 | part << 32, 0, [], []
             for r in given.sort_by([("part", "ascending"), ("sequence_id", "ascending"), ("offset", "ascending")]).to_pylist():
                 at, ids = 0, np.frombuffer(r["ids"], "<u4")
@@ -172,7 +170,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, windows: int = 3
                         rows += [(*w[:7], None) for w in waiting]
                         number, offset, waiting = number + 1, 0, []
             rows += [(*w[:7], None) for w in waiting] if last else waiting
-            return pa.Table.from_batches([batch(rows, part)])
+            return pa.Table.from_batches([batch(rows, part, given.column("key").type)])
 
         return of
 
