@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import lookup, stored
+from tidelog.llm.shared import keep_rows, lookup, stored
 
 #: Deleted before texts are compared: the characters of [\x20\x09-\x0D].
 BLANK = b" \t\n\x0b\x0c\r"
@@ -200,5 +200,4 @@ def _groups(rows: list[tuple], arrow: pa.DataType) -> pa.RecordBatch:
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that `exact_dedup` keeps, with their columns."""
-    kept = exact_dedup(docs, **options).where("kept").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    return keep_rows(docs, exact_dedup(docs, **options).where("kept"))

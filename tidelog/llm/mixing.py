@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import lookup, stored
+from tidelog.llm.shared import lookup, spare, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a source whose running sums one task works out together.
@@ -114,14 +114,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
 def mixed(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The mix itself: each document as often as it is taken whole, and the first words of the one
     at the cut, with the columns of `docs`; `n_chars`, if there, is that of the text."""
-    shares = mix(docs, text=text, **options).where("taken > 0").select(F.col("row").alias("__row"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    rows = docs.withColumn("__row", F.monotonically_increasing_id()).join(shares, "__row")
-    words = F.explode(F.expr("transform(sequence(1, cast(ceil(__taken / __size) as int)), i -> least(__size, __taken - (i - 1) * __size))"))
-    rows = rows.withColumn("__words", words)
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), 0), F.lit(1), F.col("__words").cast("int")), "")
-    rows = rows.withColumn(text, F.when(F.col("__words") < F.col("__size"), head).otherwise(F.col(text)))
+    at, all_, taken, words = (spare(docs, n) for n in ("mix_row", "mix_size", "mix_taken", "mix_words"))
+    shares = mix(docs, text=text, **options).where("taken > 0").select(F.col("row").alias(at), F.col("size").alias(all_), F.col("taken").alias(taken))
+    rows = docs.withColumn(at, F.monotonically_increasing_id()).join(shares, at)
+    times = F.sequence(F.lit(1), F.ceil(F.col(taken) / F.col(all_)).cast("int"))
+    rows = rows.withColumn(words, F.explode(F.transform(times, lambda i: F.least(F.col(all_), F.col(taken) - (i - 1) * F.col(all_)))))
+    whole = F.col(words) == F.col(all_)
+    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), 0), F.lit(1), F.col(words).cast("int")), "")
+    rows = rows.withColumn(text, F.when(whole, F.col(text)).otherwise(head))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__words") < F.col("__size"), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
     return rows.select(*docs.columns)
 
 

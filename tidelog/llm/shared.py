@@ -32,6 +32,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """`name`, or with underscores as many as make it no column of `df`."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
+def keep_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of `docs` whose number in the scan stands in `rows` (row), with their columns."""
+    name = spare(docs, "row")
+    return docs.withColumn(name, F.monotonically_increasing_id()).join(rows.select(F.col("row").alias(name)), name, "left_semi").select(*docs.columns)
+
+
 def lookup(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
     """Left join `rows` with `keyed`, which holds one row per key and in `count` the number of
     rows with this key. Keys with over 1/HOT_PARTS of `total` rows are at most HOT_PARTS, so
