@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.graph import components
-from tidelog.llm.shared import HOT_PARTS, lookup, stored
+from tidelog.llm.shared import HOT_PARTS, keep_rows, lookup, stored
 from tidelog.llm.textscan import LETTER, NUMBER, chunks, classes, lower, mix, prefix_hash, runs, span_hash
 
 WORDS = 5
@@ -30,11 +30,11 @@ RARE = 128
 #: Two rows of so many counters; parts in which tasks hand them on.
 WIDTH, PARTS = 1 << 19, 64
 UNIT = 1 << 16
-#: (rows, bands) of the first banding, and of those that split what remains of large buckets.
+#: (rows, bands) of the first banding, and of the one that splits what remains of large buckets.
 #: At similarity 0.8 they miss 2, then under 0.1 of a thousand pairs.
-LEVELS = [(3, 9), (5, 24), (7, 40), (9, 68)]
-#: Unresolved members of a bucket that one task compares.
-TOGETHER = 256
+LEVELS = [(3, 9), (7, 40)]
+#: Open members of a bucket, or of two blocks of a larger one, that one task compares.
+TOGETHER = 1024
 #: Pairs with one leader that one task verifies.
 STAR = 1024
 _MUL = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1) for i in range(16)]
@@ -273,103 +273,106 @@ def verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
     return both.mapInArrow(verify, "row long, leader long, apart double")
 
 
-def _left_over(members: DataFrame, checked: DataFrame, most: float) -> DataFrame:
-    """(bucket, row, apart, size) of what its leader doesn't settle in a bucket. Distance is a metric:
-    rows within `most` of the leader are linked through it, and a row within `most` of the leader
-    can be linked to one beyond only if their distances to it differ by no more than `most`."""
-    rows = members.where("row <> leader").join(checked, ["row", "leader"]).select("bucket", "row", "apart")
-    rows = stored(rows, "apart")
-    far = F.col("apart") > most
-    stats = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(far.cast("int")).alias("open"), F.min(F.when(far, F.col("apart"))).alias("nearest"))
-    stats = stats.where("open > 0")
-    rows = lookup(rows, stored(stats, "open"), ["bucket"], "n", rows.count()).where(F.col("open") > 0)
-    rows = rows.where(far | (F.col("apart") >= F.col("nearest") - most))
-    rows = stored(rows.select("bucket", "row", "apart"), "left")
+def _left_over(members: DataFrame, checked: DataFrame, named: DataFrame, most: float) -> DataFrame:
+    """(bucket, row, apart, label, size) of what its leader doesn't settle in a bucket.
+
+    Rows in the leader's component need no more links to it; the others are open. Distance is a
+    metric, so an open row can be linked only to rows whose distance to the leader differs from
+    its own by `most` at most. What is nearer to the leader than any open row allows is left out."""
+    label = named.select(F.col("node"), "label")
+    rows = members.where("row <> leader").join(checked, ["row", "leader"]).join(label.withColumnRenamed("node", "row"), "row", "left")
+    rows = stored(rows.select("bucket", "row", "leader", "apart", F.coalesce("label", "row").alias("label")), "apart")
+    total = rows.count()
+    heads = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.first("leader").alias("leader"))
+    heads = heads.join(label.withColumnRenamed("node", "leader"), "leader", "left").select("bucket", "n", F.coalesce("label", "leader").alias("head"))
+    rows = lookup(rows.drop("leader"), stored(heads, "heads"), ["bucket"], "n", total)
+    rows = stored(rows.withColumn("open", F.col("label") != F.col("head")).drop("head", "n"), "open")
+    stats = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.when(F.col("open"), F.col("apart"))).alias("nearest")).where("nearest is not null")
+    rows = lookup(rows, stored(stats, "nearest"), ["bucket"], "n", total)
+    rows = stored(rows.where(F.col("open") | (F.col("apart") >= F.col("nearest") - most)).where("nearest is not null").select("bucket", "row", "apart", "label"), "left")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("members")).where("size > 1")
     once = sizes.groupBy("size", "members").agg(F.min("bucket").alias("bucket"))
-    return lookup(rows, stored(once, "sizes"), ["bucket"], "size", rows.count()).where("size is not null").select("bucket", "row", "apart", "size")
+    return lookup(rows, stored(once, "sizes"), ["bucket"], "size", rows.count()).where("size is not null").select("bucket", "row", "apart", "label", "size")
 
 
 def _compared(rows: DataFrame, texts: DataFrame, weights, most: float) -> DataFrame:
-    """Links (u, v) among the members of buckets of TOGETHER rows at most, each bucket in one task.
-    Pairs that are linked already, or that distances to the leader rule out, are not compared."""
-    dealt = rows.join(texts, "row").select("bucket", "row", "apart", "text").repartition("bucket").sortWithinPartitions("bucket", "apart", "row")
-
-    def links(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        root = list(range(len(group)))
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        near = [i for i, g in enumerate(group) if g[1] <= most]
-        for i in near[1:]:
-            root[top(i)] = top(near[0])
-        for j in range(len(group)):
-            for i in range(j):
-                if group[j][1] - group[i][1] <= most and top(i) != top(j) and 1 - similarity(group[i][2], group[j][2]) <= most:
-                    root[top(i)] = top(j)
-                    yield group[i][0], group[j][0]
+    """Links (u, v) between the two sides of each group (bucket, one, two), a group in one task:
+    rows (bucket, one, two, side, row, apart, label), side 0 before side 1. Rows of one component, and those that
+    distances to the leader rule out, are not compared."""
+    group_by = ["bucket", "one", "two"]
+    dealt = rows.join(texts, "row").select(*group_by, "side", "apart", "row", "label", "text").repartition(*group_by).sortWithinPartitions(*group_by, "side", "apart", "row")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group = None, []
+        now, held, root = None, [], {}
         schema = [("u", pa.int64()), ("v", pa.int64())]
+
+        def top(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
         for b in batches:
             out: list[tuple[int, int]] = []
-            rest = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), _vectors(b.column(3).to_pylist(), weights.value))
-            for bucket, row, apart, vector in rest:
-                if bucket != now:
-                    out.extend(links(group))
-                    now, group = bucket, []
-                group.append((row, apart, vector))
+            cols = [c.to_pylist() for c in b.columns[:-1]]
+            for *group, side, apart, row, label, vector in zip(*cols, _vectors(b.column(7).to_pylist(), weights.value)):
+                if group != now:
+                    now, held, root = group, [], {}
+                if side:
+                    for other_apart, other, other_label, other_vector in held:
+                        if abs(apart - other_apart) <= most and row != other and top(label) != top(other_label) and 1 - similarity(vector, other_vector) <= most:
+                            root[top(other_label)] = top(label)
+                            out.append((other, row))
+                if side != 1:
+                    held.append((apart, row, label, vector))
             yield _batch(schema, out)
-        yield _batch(schema, list(links(group)))
 
     return dealt.mapInArrow(compare, "u long, v long")
 
 
+def _together(left: DataFrame) -> DataFrame:
+    """Buckets of TOGETHER rows at most as groups in which every row meets those before it (side 2)."""
+    return left.where(F.col("size") <= TOGETHER).select("bucket", F.lit(0).alias("one"), F.lit(0).alias("two"), F.lit(2).alias("side"), "row", "apart", "label")
+
+
+def _in_blocks(large: DataFrame) -> DataFrame:
+    """Larger buckets as pairs of blocks: all rows (side 0) against those that are not in the
+    bucket's most frequent component (side 1)."""
+    counts = large.groupBy("bucket", "label").agg(F.count("*").alias("k"))
+    main = counts.groupBy("bucket").agg(F.sum("k").alias("n"), F.max(F.struct("k", "label")).alias("most"))
+    half = TOGETHER / 2
+    main = main.select("bucket", "n", F.col("most.label").alias("main"), F.ceil(F.col("n") / half).cast("int").alias("ones"), F.ceil((F.col("n") - F.col("most.k")) / half).cast("int").alias("twos"))
+    rows = lookup(large.select("bucket", "row", "apart", "label"), stored(main.where("twos > 0"), "main"), ["bucket"], "n", large.count()).where("main is not null")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = lambda n: F.pmod(F.xxhash64("row"), n).cast("int")
+    columns = ["bucket", "one", "two", "side", "row", "apart", "label"]
+    every = rows.withColumn("side", F.lit(0)).withColumn("one", own(F.col("ones"))).withColumn("two", spread(F.col("twos")))
+    other = rows.where(F.col("label") != F.col("main")).withColumn("side", F.lit(1)).withColumn("two", own(F.col("twos"))).withColumn("one", spread(F.col("ones")))
+    return every.select(*columns).unionByName(other.select(*columns))
+
+
 def near_links(texts: DataFrame, signed: DataFrame, weights, similar: float) -> DataFrame:
-    """Links (u, v) from which the classes of rows at least `similar` follow. In every bucket all
-    rows are held against one leader; what that leaves is compared directly where it is little,
-    and where it is much it is banded anew with more rows a band."""
-    most, links, level = 1 - similar + 1e-12, None, 0
-    while True:
+    """Links (u, v) from which the classes of rows at least `similar` follow.
+
+    In every bucket all rows are held against one leader. What can still link two components in a
+    bucket is compared directly by one task where it is little; where it is much, it is banded
+    anew with more rows a band, and what is then left is compared block by block."""
+    most, links = 1 - similar + 1e-12, None
+    for level in range(len(LEVELS)):
         members = stored(buckets(signed, own_order=level > 0), "members")
-        here = members.select("row").distinct()
-        texts = stored(texts.join(here, "row", "left_semi"), "texts")
+        texts = stored(texts.join(members.select("row").distinct(), "row", "left_semi"), "texts")
         checked = stored(verified(members.where("row <> leader").select("row", "leader").distinct(), texts, weights), "checked")
-        left = stored(_left_over(members, checked, most), "rest")
         found = checked.where(F.col("apart") <= most).select(F.col("row").alias("u"), F.col("leader").alias("v"))
-        found = found.unionByName(_compared(left.where(F.col("size") <= TOGETHER), texts, weights, most))
-        found = stored(found if links is None else links.unionByName(found), "found")
-        links = found
-        large = left.where(F.col("size") > TOGETHER).select("row").distinct()
+        links = stored(found if links is None else links.unionByName(found), "links")
+        left = stored(_left_over(members, checked, components(links), most), "rest")
+        links = stored(links.unionByName(_compared(_together(left), texts, weights, most)), "links")
+        large = left.where(F.col("size") > TOGETHER)
         if not large.limit(1).count():
             return links
         if level + 1 < len(LEVELS):
-            level += 1
-            texts = stored(texts.join(large, "row", "left_semi"), "texts")
-            signed = signatures(texts.withColumn("id", F.lit(None).cast("long")), weights, level)
-        else:
-            return links.unionByName(_by_rounds(left.where(F.col("size") > TOGETHER), texts, weights, most))
-
-
-def _by_rounds(left: DataFrame, texts: DataFrame, weights, most: float) -> DataFrame:
-    """The exact way for what no banding splits: leader after leader in each bucket that remains."""
-    members, links = left.select("bucket", "row"), None
-    while True:
-        first = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("row").alias("leader")).where("n > 1")
-        members = stored(lookup(members, stored(first, "first"), ["bucket"], "n", members.count()).where("leader is not null"), "round")
-        checked = stored(verified(members.where("row <> leader").select("row", "leader").distinct(), texts, weights), "checked")
-        near = checked.where(F.col("apart") <= most).select(F.col("row").alias("u"), F.col("leader").alias("v"))
-        links = near if links is None else links.unionByName(near)
-        left = stored(_left_over(members, checked, most), "rest")
-        links = stored(links.unionByName(_compared(left.where(F.col("size") <= TOGETHER), texts, weights, most)), "found")
-        members = left.where(F.col("size") > TOGETHER).select("bucket", "row")
-        if not members.limit(1).count():
-            return links
+            texts = stored(texts.join(large.select("row").distinct(), "row", "left_semi"), "texts")
+            signed = signatures(texts.withColumn("id", F.lit(None).cast("long")), weights, level + 1)
+    return stored(links.unionByName(_compared(_in_blocks(large), texts, weights, most)), "links")
 
 
 def near_dedup(docs: DataFrame, similar: float = SIMILAR, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -408,5 +411,4 @@ def near_dedup(docs: DataFrame, similar: float = SIMILAR, text: str = "text", ke
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that `near_dedup` keeps, with their columns."""
-    kept = near_dedup(docs, **options).where("kept").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    return keep_rows(docs, near_dedup(docs, **options).where("kept"))
