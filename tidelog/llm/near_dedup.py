@@ -35,8 +35,6 @@ UNIT = 1 << 16
 LEVELS = [(3, 9), (7, 40)]
 #: Open members of a bucket, or of two blocks of a larger one, that one task compares.
 TOGETHER = 1024
-#: Pairs with one leader that one task verifies.
-STAR = 1024
 _MUL = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1) for i in range(16)]
 
 
@@ -244,20 +242,14 @@ def buckets(signed: DataFrame, own_order: bool) -> DataFrame:
     order = F.xxhash64("row", "bucket") if own_order else F.xxhash64("row")
     sums = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("row", F.lit(7)).cast("decimal(20,0)")).alias("members"), F.min(F.struct(order.alias("o"), "row"))["row"].alias("leader"))
     many = sums.where("n > 1").groupBy("n", "members").agg(F.min(F.struct("bucket", "leader")).alias("b")).select("n", "b.bucket", "b.leader")
-    return lookup(rows, stored(many, "buckets"), ["bucket"], "n", rows.count()).where("leader is not null").select("bucket", "row", "leader")
+    return rows.join(many.select("bucket", "leader"), "bucket").select("bucket", "row", "leader")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
-    """(row, leader, apart) of pairs: one minus weighted Jaccard similarity. A leader of many pairs is
-    dealt out to a task for every STAR of them."""
-    pairs = stored(pairs, "pairs")
-    sizes = stored(pairs.groupBy("leader").agg(F.count("*").alias("pairs")), "leaders")
-    places = F.ceil(F.col("pairs") / float(STAR)).cast("int")
-    left = lookup(pairs, sizes, ["leader"], "pairs", pairs.count()).withColumn("place", F.pmod(F.xxhash64("row"), places).cast("int")).select("row", "leader", "place")
-    left = left.join(texts, "row")
-    heads = sizes.withColumn("place", F.explode(F.sequence(F.lit(0), places - 1))).select("leader", "place")
-    heads = heads.join(texts.select(F.col("row").alias("leader"), F.col("text").alias("head")), "leader")
-    both = left.join(heads, ["leader", "place"]).select("row", "leader", "text", "head")
+    """(row, leader, apart) of pairs: one minus weighted Jaccard similarity. The pairs of a leader that has
+    many are a skewed join, whose partitions Spark splits; nothing after it needs them together."""
+    heads = texts.select(F.col("row").alias("leader"), F.col("text").alias("head"))
+    both = pairs.join(texts, "row").join(heads, "leader").select("row", "leader", "text", "head")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, head = None, None
@@ -273,26 +265,32 @@ def verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
     return both.mapInArrow(verify, "row long, leader long, apart double")
 
 
-def _left_over(members: DataFrame, checked: DataFrame, named: DataFrame, most: float) -> DataFrame:
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, label): the least row that each is linked to or itself, and the same of that. Rows of
+    one label are in one component; one component may still have several."""
+    ends = links.select(F.col("u").alias("node"), F.col("v").alias("to")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("to")))
+    first = stored(ends.groupBy("node").agg(F.min(F.least("node", "to")).alias("to")), "labels")
+    up = first.select(F.col("node").alias("to"), F.col("to").alias("far"))
+    return first.join(up, "to", "left").select("node", F.least("to", F.coalesce("far", "to")).alias("label"))
+
+
+def _left_over(members: DataFrame, checked: DataFrame, labels: DataFrame, most: float) -> DataFrame:
     """(bucket, row, apart, label, size) of what its leader doesn't settle in a bucket.
 
-    Rows in the leader's component need no more links to it; the others are open. Distance is a
-    metric, so an open row can be linked only to rows whose distance to the leader differs from
-    its own by `most` at most. What is nearer to the leader than any open row allows is left out."""
-    label = named.select(F.col("node"), "label")
-    rows = members.where("row <> leader").join(checked, ["row", "leader"]).join(label.withColumnRenamed("node", "row"), "row", "left")
-    rows = stored(rows.select("bucket", "row", "leader", "apart", F.coalesce("label", "row").alias("label")), "apart")
-    total = rows.count()
-    heads = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.first("leader").alias("leader"))
-    heads = heads.join(label.withColumnRenamed("node", "leader"), "leader", "left").select("bucket", "n", F.coalesce("label", "leader").alias("head"))
-    rows = lookup(rows.drop("leader"), stored(heads, "heads"), ["bucket"], "n", total)
-    rows = stored(rows.withColumn("open", F.col("label") != F.col("head")).drop("head", "n"), "open")
-    stats = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.when(F.col("open"), F.col("apart"))).alias("nearest")).where("nearest is not null")
-    rows = lookup(rows, stored(stats, "nearest"), ["bucket"], "n", total)
-    rows = stored(rows.where(F.col("open") | (F.col("apart") >= F.col("nearest") - most)).where("nearest is not null").select("bucket", "row", "apart", "label"), "left")
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("members")).where("size > 1")
-    once = sizes.groupBy("size", "members").agg(F.min("bucket").alias("bucket"))
-    return lookup(rows, stored(once, "sizes"), ["bucket"], "size", rows.count()).where("size is not null").select("bucket", "row", "apart", "label", "size")
+    Rows within `most` of the leader are linked through it; the others are open unless their
+    label is one of those. Distance is a metric, so an open row can be linked only to rows whose
+    distance to the leader differs from its own by `most` at most: rows nearer to the leader than any open row allows are left out."""
+    rows = members.where("row <> leader").join(checked, ["row", "leader"]).select("bucket", "row", "apart")
+    rows = rows.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
+    rows = stored(rows.select("bucket", "row", "apart", "label"), "apart")
+    far = F.col("apart") > most
+    stats = rows.groupBy("bucket").agg(F.min(F.when(far, F.col("apart"))).alias("nearest"), F.min(F.when(~far, F.col("label"))).alias("head"), F.min("label").alias("a"), F.max("label").alias("b"))
+    stats = stats.where("nearest is not null and a <> b").select("bucket", "nearest", "head")
+    rows = rows.join(stats, "bucket").where(far | (F.col("apart") >= F.col("nearest") - most))
+    rows = stored(rows.withColumn("label", F.when(~far, F.col("head")).otherwise(F.col("label"))).select("bucket", "row", "apart", "label"), "left")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("members"), F.min("label").alias("a"), F.max("label").alias("b"))
+    once = sizes.where("a <> b").groupBy("size", "members").agg(F.min("bucket").alias("bucket"))
+    return rows.join(once.select("bucket", "size"), "bucket")
 
 
 def _compared(rows: DataFrame, texts: DataFrame, weights, most: float) -> DataFrame:
@@ -341,8 +339,8 @@ def _in_blocks(large: DataFrame) -> DataFrame:
     counts = large.groupBy("bucket", "label").agg(F.count("*").alias("k"))
     main = counts.groupBy("bucket").agg(F.sum("k").alias("n"), F.max(F.struct("k", "label")).alias("most"))
     half = TOGETHER / 2
-    main = main.select("bucket", "n", F.col("most.label").alias("main"), F.ceil(F.col("n") / half).cast("int").alias("ones"), F.ceil((F.col("n") - F.col("most.k")) / half).cast("int").alias("twos"))
-    rows = lookup(large.select("bucket", "row", "apart", "label"), stored(main.where("twos > 0"), "main"), ["bucket"], "n", large.count()).where("main is not null")
+    main = main.select("bucket", F.col("most.label").alias("main"), F.ceil(F.col("n") / half).cast("int").alias("ones"), F.ceil((F.col("n") - F.col("most.k")) / half).cast("int").alias("twos"))
+    rows = large.select("bucket", "row", "apart", "label").join(main.where("twos > 0"), "bucket")
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     own = lambda n: F.pmod(F.xxhash64("row"), n).cast("int")
     columns = ["bucket", "one", "two", "side", "row", "apart", "label"]
@@ -364,7 +362,7 @@ def near_links(texts: DataFrame, signed: DataFrame, weights, similar: float) ->
         checked = stored(verified(members.where("row <> leader").select("row", "leader").distinct(), texts, weights), "checked")
         found = checked.where(F.col("apart") <= most).select(F.col("row").alias("u"), F.col("leader").alias("v"))
         links = stored(found if links is None else links.unionByName(found), "links")
-        left = stored(_left_over(members, checked, components(links), most), "rest")
+        left = stored(_left_over(members, checked, _labels(links), most), "rest")
         links = stored(links.unionByName(_compared(_together(left), texts, weights, most)), "links")
         large = left.where(F.col("size") > TOGETHER)
         if not large.limit(1).count():
@@ -376,12 +374,11 @@ def near_links(texts: DataFrame, signed: DataFrame, weights, similar: float) ->
 
 
 def near_dedup(docs: DataFrame, similar: float = SIMILAR, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows (row, key, class_id, class_size, n_links, kept), one per row of `docs`.
+    """Rows (row, key, class_id, class_size, kept), one per row of `docs`.
 
     Classes are the connected components of links of similarity `similar` or more; of each class
     the row with the smallest key, then the earliest row, is kept and its key is the class id.
-    Texts of equal shingles are collapsed first, n_links counts the links that were needed between
-    different ones. Null, empty and wordless texts are classes of their own. Very long texts are
+    Texts of equal shingles are collapsed first. Null, empty and wordless texts are classes of their own. Very long texts are
     sampled whole. Repeated rows fall in one class, null keys come after others, an empty table
     gives an empty one, other columns are not read. `row` numbers the rows as they are scanned,
     so `docs` must be read from files or be deterministic in another way."""
@@ -393,20 +390,17 @@ def near_dedup(docs: DataFrame, similar: float = SIMILAR, text: str = "text", ke
     alike = signed.where("bands is not null").groupBy("mark", "shingles").agg(F.count("*").alias("n"), F.min(F.struct("row", "bands")).alias("f"))
     alike = stored(alike.select("mark", "shingles", "n", F.col("f.row").alias("first"), "f.bands"), "alike")
     ones = alike.select(F.col("first").alias("row"), "bands")
-    links = near_links(rows.select("row", "text"), ones, weights, similar)
-    named = components(links)
-    linked = links.groupBy("u").agg(F.count("*").alias("c")).unionByName(links.groupBy(F.col("v").alias("u")).agg(F.count("*").alias("c")))
-    linked = linked.groupBy(F.col("u").alias("first")).agg(F.sum("c").alias("n_links"))
-    of = alike.select("mark", "shingles", "n", "first").join(named.withColumnRenamed("node", "first"), "first", "left").join(linked, "first", "left")
-    of = stored(of.select("mark", "shingles", "n", F.coalesce("label", "first").alias("label"), "n_links"), "classes")
+    named = components(near_links(rows.select("row", "text"), ones, weights, similar))
+    of = alike.select("mark", "shingles", "n", "first").join(named.withColumnRenamed("node", "first"), "first", "left")
+    of = stored(of.select("mark", "shingles", "n", F.coalesce("label", "first").alias("label")), "classes")
     every = signed.select("row", "id", "mark", "shingles", F.col("bands").isNull().alias("alone"))
-    placed = lookup(every.where("not alone"), of, ["mark", "shingles"], "n", total).select("row", "id", "label", "n_links")
-    placed = placed.unionByName(every.where("alone").select("row", "id", F.col("row").alias("label"), F.lit(None).cast("long").alias("n_links")))
+    placed = lookup(every.where("not alone"), of, ["mark", "shingles"], "n", total).select("row", "id", "label")
+    placed = placed.unionByName(every.where("alone").select("row", "id", F.col("row").alias("label")))
     placed = stored(placed, "placed")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
     classes_ = stored(placed.groupBy("label").agg(F.count("*").alias("class_size"), best), "kept")
     out = lookup(placed, classes_, ["label"], "class_size", total)
-    return out.select("row", F.col("id").alias(key), F.col("best.id").alias("class_id"), "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("row") == F.col("best.row")).alias("kept"))
+    return out.select("row", F.col("id").alias(key), F.col("best.id").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
