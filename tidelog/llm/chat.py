@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 class Template:
     """How turns look, which roles bear loss, and the machine that accepts orders of roles.
 
-    A turn is `head` + role + `colon` + text + `end`. `mark` before any of `controls` inside a
-    role or text makes it ordinary, so that no marker can stand inside one; `controls` holds the
-    mark and the first character of each marker."""
+    A turn is `head` + role + `colon` + text + `end`. `codes` holds the first character of each
+    marker, and `mark` itself, with a letter: inside a role or text each is written as mark and
+    letter, so that no marker can stand inside one."""
 
     head: str = "### "
     colon: str = ": "
     end: str = "</turn>\n"
     mark: str = "\\"
-    controls: str = "\\#<:"
+    codes: tuple[tuple[str, str], ...] = (("#", "h"), ("<", "l"), (":", "c"))
     loss: tuple[str, ...] = ("assistant",)
     start: str = "start"
     moves: dict[str, dict[str, str]] = field(
@@ -34,12 +34,21 @@ class Template:
     accept: tuple[str, ...] = ("asked", "answered")
 
     def escape(self, x: Column) -> Column:
-        for c in self.controls:  # the mark itself comes first
-            x = F.replace(x, F.lit(c), F.lit(self.mark + c))
+        x = F.replace(x, F.lit(self.mark), F.lit(self.mark * 2))
+        for c, letter in self.codes:
+            x = F.replace(x, F.lit(c), F.lit(self.mark + letter))
         return x
 
     def unescape(self, x: Column) -> Column:
-        return F.regexp_replace(x, r"\\([\\#<:])" if self.mark == "\\" else f"[{self.mark}]([{self.controls}])", "$1")
+        """Doubled marks are found first, from the left, so what lies between them holds codes only."""
+
+        def part(p: Column) -> Column:
+            for c, letter in self.codes:
+                p = F.replace(p, F.lit(self.mark + letter), F.lit(c))
+            return p
+
+        doubled = "".join("\\" + c for c in self.mark * 2)
+        return F.array_join(F.transform(F.split(x, doubled, -1), part), self.mark)
 
     def state(self, roles: Column) -> Column:
         """The state after all roles; `error` once a role has no move."""
@@ -79,7 +88,7 @@ def read_back(chats: DataFrame, template: Template = Template(), key: str = "con
     start = len(template.head)
 
     def turn(t: Column) -> Column:
-        role = F.regexp_extract(t, r"^### ([^\\:]*(?:\\[\s\S][^\\:]*)*): ", 1)
+        role = F.substring_index(F.substr(t, F.lit(start + 1)), template.colon, 1)
         text = F.substr(t, F.length(role) + F.lit(start + len(template.colon) + 1))
         return F.struct(template.unescape(role).alias("role"), template.unescape(text).alias("text"))
 
