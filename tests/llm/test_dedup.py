@@ -74,6 +74,15 @@ def test_lookup_of_hot_keys(spark, monkeypatch):
     assert Counter(r.k for r in out) == {r.k: r["count"] for r in out}
 
 
+def test_release(spark):
+    kept = shared.stored(spark.range(5), "five")
+    assert kept.count() == 5
+    shared.release(spark)
+    with pytest.raises(Exception, match="FILE|exist"):
+        spark.read.parquet(kept.inputFiles()[0])
+    assert shared.stored(spark.range(5), "five").count() == 5
+
+
 def words(text):
     return re.findall(r"[^\W_]+", (text or "").lower())
 

@@ -116,7 +116,7 @@ def mixed(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     at the cut, with the columns of `docs`; `n_chars`, if there, is that of the text."""
     at, all_, taken, words = (spare(docs, n) for n in ("mix_row", "mix_size", "mix_taken", "mix_words"))
     shares = mix(docs, text=text, **options).where("taken > 0").select(F.col("row").alias(at), F.col("size").alias(all_), F.col("taken").alias(taken))
-    rows = docs.withColumn(at, F.monotonically_increasing_id()).join(shares, at)
+    rows = docs.withColumn(at, F.monotonically_increasing_id()).join(shares.hint("merge"), at)
     times = F.sequence(F.lit(1), F.ceil(F.col(taken) / F.col(all_)).cast("int"))
     rows = rows.withColumn(words, F.explode(F.transform(times, lambda i: F.least(F.col(all_), F.col(taken) - (i - 1) * F.col(all_)))))
     whole = F.col(words) == F.col(all_)

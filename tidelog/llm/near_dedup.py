@@ -249,7 +249,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
     """(row, leader, apart) of pairs: one minus weighted Jaccard similarity. The pairs of a leader that has
     many are a skewed join, whose partitions Spark splits; nothing after it needs them together."""
     heads = texts.select(F.col("row").alias("leader"), F.col("text").alias("head"))
-    both = pairs.join(texts, "row").join(heads, "leader").select("row", "leader", "text", "head")
+    both = pairs.join(texts.hint("merge"), "row").join(heads.hint("merge"), "leader").select("row", "leader", "text", "head")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, head = None, None
@@ -298,7 +298,7 @@ def _compared(rows: DataFrame, texts: DataFrame, weights, most: float) -> DataFr
     rows (bucket, one, two, side, row, apart, label), side 0 before side 1. Rows of one component, and those that
     distances to the leader rule out, are not compared."""
     group_by = ["bucket", "one", "two"]
-    dealt = rows.join(texts, "row").select(*group_by, "side", "apart", "row", "label", "text").repartition(*group_by).sortWithinPartitions(*group_by, "side", "apart", "row")
+    dealt = rows.join(texts.hint("merge"), "row").select(*group_by, "side", "apart", "row", "label", "text").repartition(*group_by).sortWithinPartitions(*group_by, "side", "apart", "row")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, root = None, [], {}
@@ -358,7 +358,7 @@ def near_links(texts: DataFrame, signed: DataFrame, weights, similar: float) ->
     most, links = 1 - similar + 1e-12, None
     for level in range(len(LEVELS)):
         members = stored(buckets(signed, own_order=level > 0), "members")
-        texts = stored(texts.join(members.select("row").distinct(), "row", "left_semi"), "texts")
+        texts = stored(texts.join(members.select("row").distinct().hint("merge"), "row", "left_semi"), "texts")
         checked = stored(verified(members.where("row <> leader").select("row", "leader").distinct(), texts, weights), "checked")
         found = checked.where(F.col("apart") <= most).select(F.col("row").alias("u"), F.col("leader").alias("v"))
         links = stored(found if links is None else links.unionByName(found), "links")
@@ -368,7 +368,7 @@ def near_links(texts: DataFrame, signed: DataFrame, weights, similar: float) ->
         if not large.limit(1).count():
             return links
         if level + 1 < len(LEVELS):
-            texts = stored(texts.join(large.select("row").distinct(), "row", "left_semi"), "texts")
+            texts = stored(texts.join(large.select("row").distinct().hint("merge"), "row", "left_semi"), "texts")
             signed = signatures(texts.withColumn("id", F.lit(None).cast("long")), weights, level + 1)
     return stored(links.unionByName(_compared(_in_blocks(large), texts, weights, most)), "links")
 

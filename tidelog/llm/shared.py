@@ -16,11 +16,17 @@ HOT_PARTS = 1000
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's `spark.checkpoint.dir`; where it is unset (tests), a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if base is None:
-        app = spark.sparkContext.applicationId
-        base = _OWN.setdefault(app, tempfile.mkdtemp(prefix="tidelog-"))
-    return base.rstrip("/") + "/tidelog"
+        base = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="tidelog-"))
+    return f"{base.rstrip('/')}/tidelog-{app}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables. Results that are still to be computed may read
+    them, so write those first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -42,7 +48,8 @@ def spare(df: DataFrame, name: str) -> str:
 def keep_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The rows of `docs` whose number in the scan stands in `rows` (row), with their columns."""
     name = spare(docs, "row")
-    return docs.withColumn(name, F.monotonically_increasing_id()).join(rows.select(F.col("row").alias(name)), name, "left_semi").select(*docs.columns)
+    numbers = rows.select(F.col("row").alias(name)).hint("merge")
+    return docs.withColumn(name, F.monotonically_increasing_id()).join(numbers, name, "left_semi").select(*docs.columns)
 
 
 def lookup(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
