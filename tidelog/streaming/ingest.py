@@ -23,10 +23,11 @@ def store_batch(store: LogStore, given: DataFrame, batch_id: int, now: int | Non
     """Validate and store one batch. Running it again with the same id changes nothing: clock and
     first id are on record, and every write replaces the batch's own directories."""
     record = store.begin(batch_id, now)
-    checked = validate(exploded(given), record["now"])
+    checked = validate(exploded(given), record["now"]).drop("entry").persist()
     done = store.append(batch_id, accepted(checked), record)
     if reject_path:
         rejected(checked).withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(reject_path)
+    checked.unpersist()
     return done
 
 
