@@ -1,15 +1,17 @@
 """Exact and near deduplication, and what they are made of."""
 
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tests.conftest import DATA
 from tests.llm.conftest import ROWS
-from tidelog.llm import exact_dedup, graph, near_dedup, queries, shared
+from tidelog.llm import exact_dedup, graph, mixing, near_dedup, neighbours, queries, shared
 from tidelog.llm.textscan import chunks
 
 
@@ -188,3 +190,43 @@ def test_shingles_of_a_chunk():
     sets = [dict(zip(h[doc == i].tolist(), times[doc == i].tolist())) for i in range(len(texts))]
     assert sets[0] == sets[4] == {} and sets[1] == sets[2] and len(sets[1]) == 1
     assert sum(sets[3].values()) == 8 and sorted(sets[3].values()) == [1] * 4 + [2, 2] and set(sets[5]) < set(sets[3])
+
+
+def test_numbers_hold_when_splits_change(spark, folder, monkeypatch):
+    """Every table that is stored changes the splits of the scans after it, as a lost executor does."""
+    rows = [(i, f"text {i % 45} " * 20 + " ".join(f"w{i % 45}x{k}" for k in range(30)), f"s{i % 3}") for i in range(400)]
+    rng = np.random.default_rng(2)
+    vectors = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(400)]
+    path = folder(rows, vectors=vectors)
+    for t in ("documents", "embeddings"):
+        given = pq.read_table(f"{path}/{t}.parquet")
+        pq.write_table(given, f"{path}/{t}.parquet", row_group_size=8, compression="none", use_dictionary=False)
+    docs = spark.read.parquet(path + "/documents.parquet")
+    runs = {
+        "op9": lambda: queries.op9(spark, path), "op10": lambda: queries.op10(spark, path), "op1": lambda: queries.op1(spark, path).orderBy("query_id", "rank"),
+        "keep_first": lambda: exact_dedup.keep_first(docs), "keep_one": lambda: near_dedup.keep_one(docs), "mixed": lambda: mixing.mixed(docs),
+    }
+    want = {k: sorted(map(repr, f().collect())) for k, f in runs.items()}
+    sizes, plain = itertools.cycle(["4k", "40k", "9k"]), shared.stored
+
+    def moving(df, name):
+        out = plain(df, name)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        return out
+
+    for m in (shared, exact_dedup, near_dedup, neighbours, mixing, graph):
+        monkeypatch.setattr(m, "stored", moving)
+    open_cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        wrong = []
+        for k, f in runs.items():
+            try:
+                if sorted(map(repr, f().collect())) != want[k]:
+                    wrong.append(k)
+            except Exception as e:  # a row that is not found again
+                wrong.append(f"{k}: {str(e)[:80]}")
+        assert not wrong
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.openCostInBytes", open_cost)

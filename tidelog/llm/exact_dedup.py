@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import keep_rows, lookup, stored
+from tidelog.llm.shared import given_rows, keep_rows, lookup, numbered, spare, stored
 
 #: Deleted before texts are compared: the characters of [\x20\x09-\x0D].
 BLANK = b" \t\n\x0b\x0c\r"
@@ -96,7 +96,7 @@ def _better(a: tuple, b: tuple) -> tuple:
     return min(a, b, key=rank)
 
 
-def exact_dedup(docs: DataFrame, capacity: int = 4096, text: str = "text", key: str = "doc_id") -> DataFrame:
+def exact_dedup(docs: DataFrame, capacity: int = 4096, text: str = "text", key: str = "doc_id", row: str | None = None) -> DataFrame:
     """Rows (row, key, keep_id, group_size, kept, text_sha256), one per row of `docs`.
 
     Texts are equal when they are byte for byte after deleting BLANK; of equal ones the row with
@@ -111,9 +111,9 @@ def exact_dedup(docs: DataFrame, capacity: int = 4096, text: str = "text", key:
 
     A null text counts as empty, and all empty texts are equal. Ties go as above; of repeated
     rows exactly one is kept. Null keys come after all others. An empty table gives an empty
-    one; other columns are not read. `row` numbers the rows as they are scanned, so `docs` must
-    be read from files or be deterministic in another way."""
-    given = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.col(text).alias("text"))
+    one; other columns are not read. `row` is the number in the column of that name, or else one
+    that is given here; both steps that read texts read them with the stored numbers."""
+    given = given_rows(docs, row, F.col(key).alias("id"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,4 +200,6 @@ def _groups(rows: list[tuple], arrow: pa.DataType) -> pa.RecordBatch:
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that `exact_dedup` keeps, with their columns."""
-    return keep_rows(docs, exact_dedup(docs, **options).where("kept"))
+    row = spare(docs, "row")
+    whole = numbered(docs, row)
+    return keep_rows(whole, exact_dedup(whole, row=row, **options).where("kept"), row)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import lookup, spare, stored
+from tidelog.llm.shared import lookup, numbered, spare, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a source whose running sums one task works out together.
@@ -38,7 +38,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     return table.select("skey", "source_size", "n_docs", F.when(F.col("is_full"), F.col("most")).otherwise(first * F.col("weight")).alias("target"))
 
 
-def queue(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, seed: str, text: str, key: str) -> DataFrame:
+def queue(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, seed: str, text: str, key: str, row: str | None = None) -> DataFrame:
     """Every document in the queue: row, key, size, source_size, target, shuffle key `turn`, and
     `upto`, its source's words through it. Running sums are taken within runs of about RUN
     documents that are next to each other in the shuffled order, then over the runs' sums, so a
@@ -46,7 +46,8 @@ def queue(docs: DataFrame, weights: tuple[float, ...], share: float, most: float
     turn = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")), 1, 16)
     size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
     skey = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
-    sizes = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), "source", skey.alias("skey"), size.alias("size"), turn.alias("turn")), "sizes")
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    sizes = stored(docs.select(number.alias("row"), F.col(key).alias("id"), "source", skey.alias("skey"), size.alias("size"), turn.alias("turn")), "sizes")
     aims = stored(targets(sizes, weights, share, most), "targets")
     rows = lookup(sizes, aims, ["skey"], "n_docs", sizes.count())
     place = F.conv(F.substring("turn", 1, 8), 16, 10).cast("double") / 4294967296.0
@@ -64,7 +65,7 @@ def _key(finish: Column) -> Column:
     return F.concat(F.lpad(F.hex(F.floor(F.least(finish, F.lit(FAR)) * float(1 << 40)).cast("long")), 13, "0"), F.col("turn"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: int = 2, seed: str = "mix", text: str = "text", key: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: int = 2, seed: str = "mix", text: str = "text", key: str = "doc_id", row: str | None = None) -> DataFrame:
     """Rows (row, key, size, source_size, target, taken), one per row of `docs`.
 
     Weighted fair queueing: in each source's shuffled order a document's virtual finish time is
@@ -77,8 +78,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     The size of a null text is 0, and documents of size 0 take 0 words. A null source is a source
     of its own, ordered last. Repeated rows are queued each for itself; ties in shuffle key go
     by size and key. Texts of any length are counted whole. An empty table gives an empty one.
-    Other columns, of whatever name, are not read. `row` numbers the rows as they are scanned."""
-    line = queue(docs, weights, share, most, seed, text, key)
+    Other columns, of whatever name, are not read. `row` is the number in the column of that name, or
+    else one given in the only scan of `docs`."""
+    line = queue(docs, weights, share, most, seed, text, key, row)
     total = line.agg(F.sum("size")).first()[0] or 0
     left = int(total * share)
     rounds = F.explode(F.array(*(F.lit(i) for i in range(most))))
@@ -115,8 +117,9 @@ def mixed(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """The mix itself: each document as often as it is taken whole, and the first words of the one
     at the cut, with the columns of `docs`; `n_chars`, if there, is that of the text."""
     at, all_, taken, words = (spare(docs, n) for n in ("mix_row", "mix_size", "mix_taken", "mix_words"))
-    shares = mix(docs, text=text, **options).where("taken > 0").select(F.col("row").alias(at), F.col("size").alias(all_), F.col("taken").alias(taken))
-    rows = docs.withColumn(at, F.monotonically_increasing_id()).join(shares.hint("merge"), at)
+    whole_rows = numbered(docs, at)
+    shares = mix(whole_rows, text=text, row=at, **options).where("taken > 0").select(F.col("row").alias(at), F.col("size").alias(all_), F.col("taken").alias(taken))
+    rows = whole_rows.join(shares.hint("merge"), at)
     times = F.sequence(F.lit(1), F.ceil(F.col(taken) / F.col(all_)).cast("int"))
     rows = rows.withColumn(words, F.explode(F.transform(times, lambda i: F.least(F.col(all_), F.col(taken) - (i - 1) * F.col(all_)))))
     whole = F.col(words) == F.col(all_)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.graph import components
-from tidelog.llm.shared import HOT_PARTS, keep_rows, lookup, stored
+from tidelog.llm.shared import HOT_PARTS, given_rows, keep_rows, lookup, numbered, spare, stored
 from tidelog.llm.textscan import LETTER, NUMBER, chunks, classes, lower, mix, prefix_hash, runs, span_hash
 
 WORDS = 5
@@ -373,17 +373,17 @@ def near_links(texts: DataFrame, signed: DataFrame, weights, similar: float) ->
     return stored(links.unionByName(_compared(_in_blocks(large), texts, weights, most)), "links")
 
 
-def near_dedup(docs: DataFrame, similar: float = SIMILAR, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_dedup(docs: DataFrame, similar: float = SIMILAR, text: str = "text", key: str = "doc_id", row: str | None = None) -> DataFrame:
     """Rows (row, key, class_id, class_size, kept), one per row of `docs`.
 
     Classes are the connected components of links of similarity `similar` or more; of each class
     the row with the smallest key, then the earliest row, is kept and its key is the class id.
     Texts of equal shingles are collapsed first. Null, empty and wordless texts are classes of their own. Very long texts are
     sampled whole. Repeated rows fall in one class, null keys come after others, an empty table
-    gives an empty one, other columns are not read. `row` numbers the rows as they are scanned,
-    so `docs` must be read from files or be deterministic in another way."""
+    gives an empty one, other columns are not read. `row` is the number in the column of that name,
+    or else one that is given here; all steps that read texts read them with the stored numbers."""
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = given_rows(docs, row, F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     total = rows.count()
     weights = spark.sparkContext.broadcast(document_weights(rows, total))
     signed = stored(signatures(rows, weights, 0), "signatures")
@@ -405,4 +405,6 @@ def near_dedup(docs: DataFrame, similar: float = SIMILAR, text: str = "text", ke
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that `near_dedup` keeps, with their columns."""
-    return keep_rows(docs, near_dedup(docs, **options).where("kept"))
+    row = spare(docs, "row")
+    whole = numbered(docs, row)
+    return keep_rows(whole, near_dedup(whole, row=row, **options).where("kept"), row)

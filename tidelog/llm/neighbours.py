@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import lookup, stored
+from tidelog.llm.shared import given_rows, lookup, stored
 
 #: Vectors that the codebooks are fitted on, at most.
 FIT_ROWS = 8192
@@ -134,10 +134,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, shortlist: int = 4
     are scored again on the original vectors.
 
     Rows whose vector is null, zero, holds a null or non-finite component, or has another length than most,
-    take no part. Repeated rows are candidates like others; a query row is never its own. Null keys take no part.
+    take no part. Rows are numbered once, in a stored table that all steps read. Repeated rows are candidates like others; a query row is never its own. Null keys take no part.
     With fewer than k candidates all are returned, none from an empty table. Other columns are not read."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.col(vector).alias("v"), queries.alias("asks"))
+    rows = given_rows(vectors, None, F.col(key).alias("id"), F.col(vector).alias("v"), queries.alias("asks"))
     sizes = rows.where(F.size("v") > 0).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     shape = f"query_id long, rank int, {key} long, score double"
     if sizes is None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
@@ -45,11 +45,23 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
-def keep_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of `docs` whose number in the scan stands in `rows` (row), with their columns."""
-    name = spare(docs, "row")
-    numbers = rows.select(F.col("row").alias(name)).hint("merge")
-    return docs.withColumn(name, F.monotonically_increasing_id()).join(numbers, name, "left_semi").select(*docs.columns)
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """`docs` with a number for each row in column `name`, from the shared folder. A scan's numbers depend on
+    its splits, and these on the executors there are when it is planned, so rows are numbered in one
+    scan and every later step reads the numbers back."""
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
+def given_rows(docs: DataFrame, row: str | None, *columns: Column) -> DataFrame:
+    """(row, columns) of `docs`, which column `row` numbers; with None they are numbered here, and only `columns` are stored."""
+    if row is not None:
+        return docs.select(F.col(row).alias("row"), *columns)
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), *columns), "numbered")
+
+
+def keep_rows(docs: DataFrame, rows: DataFrame, row: str) -> DataFrame:
+    """The rows of `docs` whose number in column `row` stands in `rows` (row), without the number."""
+    return docs.join(rows.select(F.col("row").alias(row)).hint("merge"), row, "left_semi").drop(row)
 
 
 def lookup(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
