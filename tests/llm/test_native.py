@@ -45,6 +45,14 @@ def test_secrets(spark, folder):
     assert kinds[13] == ["assign"] * 3000
 
 
+def test_endpoint_of_many_labels(spark, folder):
+    parts = " login=root pwd=abcdefgh"
+    hosts = ["host=a" + ".a" * 100_000, "host=db.example.com:5432", "host=db.example.com.", "host=a..b", "host=a.-.b."]
+    found = {r.doc_id: r.spans for r in queries.op3(spark, folder([(i, h + parts, "s") for i, h in enumerate(hosts)])).collect()}
+    ends = {i: [int(x.split(":")[2]) for x in s.split(",") if x.startswith("endpoint")] for i, s in found.items()}
+    assert ends == {0: [200_006], 1: [24], 2: [19], 3: [], 4: [10]}
+
+
 def test_secret_rows(spark, folder):
     assert queries.op3(spark, folder()).count() == len(ROWS)
     assert queries.op3(spark, folder([])).count() == 0

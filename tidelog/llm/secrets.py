@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 VALUE = r"[\"']?\x20*[:=]\x20*[\"']?"
 #: (kind, role, pattern, group whose length counts, least length). The first three are reported
-#: wherever they stand; the others are weak.
+#: wherever they stand; the others are weak. A group is repeated possessively: Java's matcher recurses
+#: once per repeat of another one of varying length, and long texts overflow its stack.
 KINDS = [
     ("assign", "secret", rf"(?i:password|passwd|secret|token|api_?key){VALUE}([A-Za-z0-9+/_.=-]+)", 1, 6),
     ("access", "id", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", "secret", r"[0-9a-f]{24,}", 0, 24),
     ("id", "id", rf"(?i:access_?key_?id|client_?id|account_?id|user_?name|login){VALUE}[A-Za-z0-9+/_.@-]{{3,}}|(?:ASIA|AROA|AIDA)[A-Z0-9]{{12,}}", 0, 0),
     ("key", "secret", rf"(?i:pwd|passphrase|credential|private_?key){VALUE}[A-Za-z0-9+/_.=-]{{6,}}|[A-Za-z0-9+/_-]{{40,}}={{0,2}}", 0, 0),
-    ("endpoint", "endpoint", rf"(?i:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\x20\x09-\x0D\"'<>]+|(?i:host|hostname|endpoint|server){VALUE}[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]+)?", 0, 0),
+    ("endpoint", "endpoint", rf"(?i:https?|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\x20\x09-\x0D\"'<>]+|(?i:host|hostname|endpoint|server){VALUE}[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++(?::[0-9]+)?", 0, 0),
 ]
 BASE = 3
 #: Characters at most between parts of one credential.
