@@ -4,7 +4,8 @@ Words become symbols: insults by a lexicon learned from labels, threats, targets
 reported speech by short lists. Five transducers read a clause's symbols; their product, compiled
 once into a table, says of each insult and threat whether it is negated or reported, and of the
 clause whether it names a target. Weights of what was matched are summed by kind of match, and a
-logistic model over these sums gives the score. A word that stands in no matched clause counts for nothing.
+logistic model over these sums gives the score. A lone insult or threat is a match by itself: target, negation
+and report choose which weight it takes.
 """
 
 from __future__ import annotations
