@@ -29,3 +29,12 @@ def test_stages(spark, tmp_path):
     for r in docs.collect():
         lengths[r.sequence_id] = lengths.get(r.sequence_id, 0) + r.length
     assert sum(n < 1024 for n in lengths.values()) <= 1
+
+
+def test_toxic_documents_go(spark):
+    folder = str(DATA / "sf0.1")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, folder).select("doc_id").collect()}
+    marked = [{r.doc_id for r in labels.join(docs.select("doc_id"), "doc_id", "left_semi").where(f"toxic = {k}").collect()} for k in (0, 1)]
+    assert len(marked[1]) > 20 and len(kept) < docs.count()
+    assert len(marked[1] - kept) > 0.8 * len(marked[1]) and len(marked[0] & kept) > 0.97 * len(marked[0])
