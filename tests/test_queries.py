@@ -21,6 +21,13 @@ def test_query(spark, same_as_sql, name):
     same_as_sql(queries.QUERIES[name](spark, SMALL), queries.ORACLES[name], SMALL)
 
 
+def test_merge_counts_every_id(spark, monkeypatch):
+    rows = [(i, "auth", "error") for i in (None, -3, -2, -1, 0, 1, 2)]
+    logs = spark.createDataFrame(rows, "id long, service string, level string").selectExpr("*", "timestamp '2024-01-05 10:00:15' AS `timestamp`")
+    monkeypatch.setattr(queries.fixtures, "logs", lambda *_: logs)
+    assert [r.cnt for r in queries.QUERIES["rollup_merge"](spark, SMALL).collect()] == [len(rows)]
+
+
 def test_entry(spark):
     rows = __spark_entry__.entry(spark)
     assert rows.columns == ["bucket_start", "grp", "cnt"] and rows.count() > 0
