@@ -29,7 +29,7 @@ def entry(time, service="auth", level="info", message="m", **attributes):
     return {"timestamp": time, "level": level, "service": service, "message": message, "attributes": attributes}
 
 
-SCENE = [entry("2026-03-01T10:00:15Z")] * 3 + [entry("2026-03-01T10:01:00Z", level="error")] * 2 + [entry("2026-03-01T10:01:45Z", "checkout")]
+SCENE = [entry("2026-02-27T21:13:05Z")] * 3 + [entry("2026-02-27T21:14:30Z", level="error")] * 2 + [entry("2026-02-27T21:14:50Z", "checkout")]
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +37,7 @@ def engine(spark, tmp_path_factory):
     e = Engine(spark, str(tmp_path_factory.mktemp("engine")))
     assert e.ready()
     assert e.ingest(json.dumps({"logs": SCENE[:4]}), NOW) == {"accepted": 4, "rejected": []}
-    bad = entry("2026-03-01T10:02:00Z", level="bogus")
+    bad = entry("2026-02-27T21:15:00Z", level="bogus")
     assert e.ingest(json.dumps({"logs": [SCENE[4], bad, SCENE[5]]}), NOW) == {"accepted": 2, "rejected": [{"index": 1, "reason": 'invalid level: "bogus"'}]}
     ties = [entry("2026-03-02T08:00:00.123456Z", "ties", message=f"Payment DECLINED 100%_ {i}" if i % 2 else "succeeded", region="eu" if i < 3 else "us") for i in range(5)]
     assert e.ingest(json.dumps({"logs": ties}), NOW)["accepted"] == 5
@@ -45,13 +45,13 @@ def engine(spark, tmp_path_factory):
 
 
 def test_counts(engine):
-    window = {"since": "2026-03-01T10:00:10Z", "until": "2026-03-01T10:02:00Z", "bucket": "1m"}
+    window = {"since": "2026-02-27T21:13:02Z", "until": "2026-02-27T21:15:00Z", "bucket": "1m"}
     buckets = lambda **more: [(b["start"][11:16], b["group"], b["count"]) for b in engine.aggregate(window | more)["buckets"]]
-    assert buckets(group_by="service") == [("10:00", "auth", 3), ("10:01", "auth", 2), ("10:01", "checkout", 1)]
-    assert buckets(group_by="level", since="2026-03-01T10:00:00Z") == [("10:00", "info", 3), ("10:01", "error", 2), ("10:01", "info", 1)]
-    assert buckets(service="checkout") == [("10:01", None, 1)]
+    assert buckets(group_by="service") == [("21:13", "auth", 3), ("21:14", "auth", 2), ("21:14", "checkout", 1)]
+    assert buckets(group_by="level", since="2026-02-27T21:13:00Z") == [("21:13", "info", 3), ("21:14", "error", 2), ("21:14", "info", 1)]
+    assert buckets(service="checkout") == [("21:14", None, 1)]
     assert buckets(q="nothing") == [] and buckets(until=window["since"]) == []
-    assert engine.aggregate(window)["buckets"][0]["start"] == "2026-03-01T10:00:00Z"
+    assert engine.aggregate(window)["buckets"][0]["start"] == "2026-02-27T21:13:00Z"
 
 
 def test_pages(engine):
@@ -92,7 +92,7 @@ def counts(store):
 
 def test_batches_replay_compact_rebuild_and_expire(spark, tmp_path):
     store = LogStore(spark, str(tmp_path / "s"))
-    given = bodies(spark, [json.dumps({"logs": SCENE}), json.dumps({"logs": [entry("2026-01-15T23:59:59.9Z"), entry("2026-03-01T00:00:00Z")]})])
+    given = bodies(spark, [json.dumps({"logs": SCENE}), json.dumps({"logs": [entry("2026-01-15T23:59:59.9Z"), entry("2026-02-27T00:00:00Z")]})])
     done = store_batch(store, given, 0, NOW)
     rows, tiers = sorted(map(tuple, store.logs().drop("attributes").collect())), counts(store)
     assert done["rows"] == 8 and store_batch(store, given, 0, NOW + DAY) == done
@@ -102,7 +102,7 @@ def test_batches_replay_compact_rebuild_and_expire(spark, tmp_path):
     assert (sorted(map(tuple, store.logs().drop("attributes").collect())), counts(store)) == (rows, tiers)
     store_batch(store, bodies(spark, [json.dumps({"logs": SCENE[:2]})]), 1, NOW)
     assert sorted(r.id for r in store.logs().collect()) == list(range(1, 11))
-    assert store.compact(date(2026, 3, 2)) is not None and store.compact(date(2026, 3, 2)) is None
+    assert store.compact(date(2026, 2, 28)) is not None and store.compact(date(2026, 2, 28)) is None
     assert sorted(r.id for r in store.logs().collect()) == list(range(1, 11))
     assert sum(r.cnt for r in store.tiers()["minute"].collect()) == 10
     before = counts(store)
@@ -113,7 +113,7 @@ def test_batches_replay_compact_rebuild_and_expire(spark, tmp_path):
     edge = parse_time("2026-01-16T00:00:00Z", "t") + 30 * DAY
     assert store.sweep(edge - 1) == [] and store.sweep(edge) == [date(2026, 1, 15)]
     days = {d: {r.day for r in t.select("day").collect()} for d, t in (("facts", store.logs()), *store.tiers().items())}
-    assert days == dict.fromkeys(("facts", "minute", "hour"), {date(2026, 3, 1)})
+    assert days == dict.fromkeys(("facts", "minute", "hour"), {date(2026, 2, 27)})
 
 
 def test_stream(spark, tmp_path):

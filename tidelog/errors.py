@@ -25,6 +25,16 @@ class Overloaded(LogError):
         self.retry_after = retry_after
 
 
+class Busy(LogError):
+    """Upkeep of the store is running already."""
+
+    status = 409
+
+
+class TimedOut(LogError):
+    """A query ran longer than it may."""
+
+
 def response(error: Exception) -> tuple[int, dict[str, str], dict[str, str]]:
     """(status, headers, body) for an error; anything unexpected is an internal error."""
     if not isinstance(error, LogError):

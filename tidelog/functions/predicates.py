@@ -11,14 +11,16 @@ from pyspark.sql.types import TimestampNTZType
 from tidelog.functions.timebins import at, utc_day
 from tidelog.plans.cursor import Cursor
 from tidelog.plans.specs import Filters
+from tidelog.schema import DAY
 
 
 def _days(df: DataFrame, since: int | None, until: int | None) -> list[Column]:
     """Bounds on the partition column that follow from bounds on time: without them no directory is skipped."""
     if "day" not in df.columns:
         return []
-    low = [F.col("day") >= F.lit(utc_day(since))] if since is not None else []
-    return low + ([F.col("day") <= F.lit(utc_day(until))] if until is not None else [])
+    day = lambda us: F.lit(utc_day(us).isoformat()).cast("date")
+    low = [F.col("day") >= day(since)] if since is not None else []
+    return low + ([F.col("day") <= day(until)] if until is not None else [])
 
 
 def _without_zone(df: DataFrame, time: str) -> bool:
@@ -48,6 +50,24 @@ def matches(df: DataFrame, filters: Filters) -> list[Column]:
     return out
 
 
+#: Ranges that a filter spells out; where there are more it names their days alone.
+MOST_RANGES = 100
+
+
+def in_ranges(df: DataFrame, ranges: list[tuple[int, int]]) -> list[Column]:
+    """Times in one of the ranges [since, until), for pruning: with MOST_RANGES or more of them whole days pass."""
+    days = sorted({utc_day(t) for a, b in ranges for t in range(a, b, DAY)} | {utc_day(b - 1) for _, b in ranges})
+    out = [F.col("day").isin(days)] if "day" in df.columns else []
+    if len(ranges) < MOST_RANGES:
+        out.append(reduce(lambda x, y: x | y, ((F.col("timestamp") >= at(a)) & (F.col("timestamp") < at(b)) for a, b in ranges)))
+    return out
+
+
+def key_hash(key: Column, value: Column) -> Column:
+    """What the attribute index knows a pair by."""
+    return F.xxhash64(key, value)
+
+
 def after(df: DataFrame, cursor: Cursor | None) -> list[Column]:
     """(timestamp, id) below the cursor's, as two bounds of which the first is pushed down."""
     if cursor is None:

@@ -18,8 +18,12 @@ def micros(t: datetime) -> int:
     return (t - EPOCH) // timedelta(microseconds=1)
 
 
+FIRST, LAST = micros(datetime.min), micros(datetime.max)
+
+
 def moment(us: int) -> datetime:
-    return EPOCH + timedelta(microseconds=us)
+    """The nearest one that the calendar has."""
+    return EPOCH + timedelta(microseconds=min(max(us, FIRST), LAST))
 
 
 def utc_day(us: int) -> date:
@@ -52,6 +56,11 @@ def ceil_to(us: int, width: int) -> int:
     return -(-us // width) * width
 
 
+def iso_text(us: int) -> str:
+    """`iso_millis` of microseconds, on the driver."""
+    return moment(us).replace(tzinfo=None).isoformat(timespec="milliseconds") + "Z"
+
+
 def iso_millis(ts: Column) -> Column:
     """2026-03-01T10:00:00.000Z; needs a session in UTC."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
@@ -61,6 +70,3 @@ def iso_short(ts: Column) -> Column:
     """As `iso_millis`, without milliseconds that are zero."""
     return F.regexp_replace(iso_millis(ts), r"\.000Z$", "Z")
 
-
-def partition_label(day: Column) -> Column:
-    return F.concat(F.lit("logs_p_"), F.date_format(day, "yyyyMMdd"))

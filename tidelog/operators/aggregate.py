@@ -26,9 +26,10 @@ def _ordered(buckets: DataFrame) -> DataFrame:
     return buckets.orderBy("start", F.asc_nulls_first("group"))
 
 
-def from_rows(logs: DataFrame, spec: AggregateSpec) -> DataFrame:
+def from_rows(logs: DataFrame, spec: AggregateSpec, ordered: bool = True) -> DataFrame:
     """Counts of rows; empty buckets are left out, the group is null where none is asked for."""
-    return _ordered(_binned(keep(logs, matches(logs, spec.filters.within(spec.since, spec.until))), "timestamp", spec, F.count("*")))
+    found = _binned(keep(logs, matches(logs, spec.filters.within(spec.since, spec.until))), "timestamp", spec, F.count("*"))
+    return _ordered(found) if ordered else found
 
 
 def _part(segment: Segment, logs: DataFrame, tiers: Mapping[str, DataFrame], spec: AggregateSpec) -> DataFrame:
@@ -38,15 +39,14 @@ def _part(segment: Segment, logs: DataFrame, tiers: Mapping[str, DataFrame], spe
     return _binned(rows, time, spec, F.count("*") if raw else F.sum("cnt"))
 
 
-def aggregate(logs: DataFrame, tiers: Mapping[str, DataFrame], spec: AggregateSpec) -> DataFrame:
-    """(start, group, count) ordered. Text and attribute filters read rows; else every segment of
-    the window is counted from its source and the counts of a bucket are added up."""
+def aggregate(logs: DataFrame, tiers: Mapping[str, DataFrame], spec: AggregateSpec, ordered: bool = True) -> DataFrame:
+    """(start, group, count) ordered, unless a caller sorts the few rows itself. Text and attribute filters read rows; else every
+    segment of the window is counted from its source and the counts of a bucket are added up."""
     if not summaries_suffice(spec.filters):
-        return from_rows(logs, spec)
+        return from_rows(logs, spec, ordered)
     segments = plan(spec.since, spec.until, spec.bucket)
     if not segments:
-        return from_rows(logs, spec).limit(0)
+        return from_rows(logs, spec, ordered).limit(0)
     parts = [_part(s, logs, tiers, spec) for s in segments]
-    if len(parts) == 1:
-        return _ordered(parts[0])
-    return _ordered(reduce(DataFrame.unionByName, parts).groupBy("start", "group").agg(F.sum("count").alias("count")))
+    found = parts[0] if len(parts) == 1 else reduce(DataFrame.unionByName, parts).groupBy("start", "group").agg(F.sum("count").alias("count"))
+    return _ordered(found) if ordered else found

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import datetime
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tidelog.functions.predicates import after, keep, matches
-from tidelog.functions.timebins import micros, utc_day
+from tidelog.functions.timebins import utc_day
 from tidelog.plans.cursor import Cursor, encode
 from tidelog.plans.specs import ListSpec
 from tidelog.schema import DAY, HOUR
@@ -55,12 +55,27 @@ class Page:
     next_cursor: str | None
 
 
-def collect(found: DataFrame, limit: int) -> Page:
+def held(found: DataFrame) -> DataFrame:
+    """The columns of a page that the driver collects, the time in microseconds: reading it depends on no zone."""
+    time = F.unix_micros("timestamp") if found.schema["timestamp"].dataType.simpleString() == "timestamp" else F.unix_micros(F.from_utc_timestamp(F.col("timestamp").cast("timestamp"), F.current_timezone()))
+    return found.select("id", time.alias("time_us"), "level", "service", "message", "attributes")
+
+
+def paged(rows: list[Row], limit: int) -> Page:
     """Rows and the next cursor, which there is exactly if the page is full."""
-    zone = found.schema["timestamp"].dataType.simpleString() == "timestamp"
-    time = F.unix_micros("timestamp") if zone else F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    rows = found.withColumn("_time", time).collect()
-    if len(rows) < limit:
-        return Page(rows, None)
-    last = rows[-1]
-    return Page(rows, encode(Cursor(last["_time"] if zone else micros(datetime.fromisoformat(last["_time"])), last["id"])))
+    return Page(rows, encode(Cursor(rows[-1]["time_us"], rows[-1]["id"])) if len(rows) == limit else None)
+
+
+def collect(found: DataFrame, limit: int) -> Page:
+    return paged(held(found).collect(), limit)
+
+
+def in_steps(step: Callable[[ListSpec, list | None], list[Row]], spec: ListSpec, windows: list[tuple[tuple[int, int], list | None]]) -> Page:
+    """The page from windows that lie one before the other, newest first: each is read once, by one job, and reading ends when the page is full.
+    `step` is given the window's own spec and, where only parts of it can hold rows, these."""
+    rows: list[Row] = []
+    for (low, high), parts in windows:
+        rows += step(ListSpec(spec.filters.within(low, high), spec.limit - len(rows), spec.cursor), parts)
+        if len(rows) == spec.limit:
+            break
+    return paged(rows, spec.limit)

@@ -1,10 +1,13 @@
-"""Minute and hour summaries: additive counts by (bucket_start, service, level)."""
+"""Minute and hour summaries: additive counts by (bucket_start, service, level); the attribute index: by (kv, hour)."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.functions.predicates import key_hash
 from tidelog.functions.timebins import bin_start
 
 KEY = ("bucket_start", "service", "level")
@@ -21,9 +24,15 @@ def hours_of(minutes: DataFrame) -> DataFrame:
     return minutes.groupBy(start, "service", "level").agg(F.sum("cnt").alias("cnt")).withColumnRenamed("hour_start", "bucket_start")
 
 
-def summed(deltas: DataFrame) -> DataFrame:
+def keys_of(logs: DataFrame) -> DataFrame:
+    """Which attribute values stand in which hour, and how often."""
+    pairs = logs.select("timestamp", F.explode("attributes").alias("k", "v"))
+    return pairs.groupBy(key_hash(F.col("k"), F.col("v")).alias("kv"), bin_start(F.col("timestamp"), "1h").alias("bucket_start")).agg(F.count("*").alias("cnt"))
+
+
+def summed(deltas: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """One row per key from the deltas of many batches."""
-    return deltas.groupBy(*KEY).agg(F.sum("cnt").alias("cnt"))
+    return deltas.groupBy(*key).agg(F.sum("cnt").alias("cnt"))
 
 
 def tiers_of(logs: DataFrame) -> dict[str, DataFrame]:

@@ -37,6 +37,7 @@ def decode(text: str) -> Cursor | None:
         time, number = held["t"], held["i"]
         if not (isinstance(time, str) and isinstance(number, str) and re.fullmatch(r"[0-9]+", number)):
             return None
-        return Cursor(micros(datetime.fromisoformat(time)), int(number))
+        found = Cursor(micros(datetime.fromisoformat(time)), int(number))
+        return found if found.id < 1 << 63 else None
     except (binascii.Error, ValueError, KeyError, TypeError, OverflowError):
         return None

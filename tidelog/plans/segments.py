@@ -48,10 +48,3 @@ def plan(since: int, until: int, bucket: str) -> list[Segment]:
             found.append(Segment(name, found[-1].until, high))
     return found
 
-
-def minute_core(since: int, until: int) -> tuple[tuple[int, int], tuple[int, int], tuple[int, int]]:
-    """One summary only: (whole minutes, edge before, edge after); empty parts have equal ends."""
-    low, high = ceil_to(since, MINUTE), floor_to(until, MINUTE)
-    if low < high:
-        return (low, high), (since, low), (high, until)
-    return (until, until), (since, until), (until, until)

@@ -12,6 +12,7 @@ from tidelog.functions.timebins import micros
 from tidelog.plans.cursor import Cursor, decode
 from tidelog.schema import BUCKETS, GROUPS, LEVELS
 
+#: The limits, and below the messages of the request contract.
 DEFAULT_LIMIT, MOST_LIMIT, MOST_TEXT, MOST_BUCKETS = 100, 1000, 512, 100_000
 
 
@@ -108,7 +109,7 @@ def parse_list(params: Mapping[str, object]) -> ListSpec:
     if (text := given(params, "limit")) is not None:
         if not re.fullmatch(r"[0-9]+", text):
             raise BadRequest(f"invalid limit: '{text}'")
-        limit = int(text)
+        limit = int(text.lstrip("0")[:5] or 0)  # five digits tell
         if not 1 <= limit <= MOST_LIMIT:
             raise BadRequest(f"limit must be between 1 and {MOST_LIMIT}")
     if (text := given(params, "cursor")) is not None and (cursor := decode(text)) is None:

@@ -28,7 +28,8 @@ TIER = T.StructType(
         T.StructField("cnt", T.LongType(), False),
     ]
 )
-REJECTIONS = T.StructType([T.StructField("index", T.LongType(), False), T.StructField("reason", T.StringType(), False)])
+#: The attribute index: a hash of key and value, the hour, and how many rows have them.
+KEYS = T.StructType([T.StructField("kv", T.LongType(), False), T.StructField("bucket_start", T.TimestampType(), False), T.StructField("cnt", T.LongType(), False)])
 PARTITIONS = T.StructType([T.StructField("day", T.DateType(), False), T.StructField("batch_id", T.LongType(), False)])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog.errors import BadRequest
 
+#: The limits, and below the messages of the request contract.
 MOST_ENTRIES = 10_000
 MOST_BYTES = 5 << 20
 
@@ -20,7 +21,7 @@ def check_body(body: str | bytes, most_entries: int = MOST_ENTRIES, most_bytes:
     if len(raw) > most_bytes:
         raise BadRequest("request body too large")
     try:
-        held = json.loads(raw)
+        held = json.loads(raw, parse_constant=_no_json)
     except ValueError as e:
         raise BadRequest(f"malformed JSON: {e}") from None
     if not isinstance(held, dict):
@@ -35,6 +36,11 @@ def check_body(body: str | bytes, most_entries: int = MOST_ENTRIES, most_bytes:
     return logs
 
 
+def _no_json(text: str):
+    """NaN and the infinities, which Python reads."""
+    raise ValueError(f"unexpected {text}")
+
+
 def bodies(spark: SparkSession, texts: list[str], source: str = "") -> DataFrame:
     """(source, body) from texts that the driver holds."""
     return spark.createDataFrame([(f"{source}{i:06d}", t) for i, t in enumerate(texts)], "source string, body string")

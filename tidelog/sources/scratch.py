@@ -10,9 +10,20 @@ from pyspark.sql import SparkSession
 _OWN: dict[str, str] = {}
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below `spark.checkpoint.dir`; where that is unset (tests), below a temporary folder."""
+def shared_base(spark: SparkSession) -> str:
+    """`spark.checkpoint.dir`. Where it is unset, which only a local master allows, as in tests, a temporary
+    folder: on a cluster each executor would write to a disk of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tidelog-"))
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if base is not None:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="tidelog-")
+    return _OWN[app]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.operators.validate import accepted, rejected, validate
 from tidelog.sources.envelope import exploded
-from tidelog.sources.store import LogStore
+from tidelog.sources.store import STREAM, LogStore
 
 
 def read_bodies(spark: SparkSession, path: str, max_files: int = 64, max_bytes: str | None = None) -> DataFrame:
@@ -24,16 +24,19 @@ def store_batch(store: LogStore, given: DataFrame, batch_id: int, now: int | Non
     first id are on record, and every write replaces the batch's own directories."""
     record = store.begin(batch_id, now)
     checked = validate(exploded(given), record["now"]).drop("entry").persist()
-    done = store.append(batch_id, accepted(checked), record)
-    if reject_path:
-        rejected(checked).withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(reject_path)
-    checked.unpersist()
-    return done
-
-
-def start(store: LogStore, given: DataFrame, checkpoint: str, once: bool = True, every: str = "1 second", now: int | None = None) -> StreamingQuery:
-    """No watermark: any past time is stored and counted, and since counts add up no state is kept. `now` fixes the clock, else each batch takes its own."""
-    writer = given.writeStream.foreachBatch(lambda rows, i: store_batch(store, rows, i, now, reject_path=f"{store.path}/rejected")).option("checkpointLocation", checkpoint)
+    try:
+        if reject_path:
+            rejected(checked).withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(reject_path)
+        return store.append(batch_id, accepted(checked), record)
+    finally:
+        checked.unpersist()
+
+
+def start(store: LogStore, given: DataFrame, checkpoint: str, once: bool = True, every: str = "1 second", now: int | None = None, stream: int = 0) -> StreamingQuery:
+    """No watermark: any past time is stored and counted, and since counts add up no state is kept. `now` fixes the clock, else each batch takes its own.
+    Streams into one store differ in `stream`, up to 256 of them; direct callers have batch ids of their own."""
+    first = stream * STREAM
+    writer = given.writeStream.foreachBatch(lambda rows, i: store_batch(store, rows, first + i, now, reject_path=f"{store.path}/rejected")).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
     return writer.start()
 
