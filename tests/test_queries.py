@@ -41,3 +41,18 @@ def test_entry_without_llm(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; n = e.queries(); assert 'agg_1m_service' in n and not any(x.startswith('op') for x in n) and 'pipeline' not in n; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"}, check=True)
+
+
+def test_what_llm_needs_is_not_optional(tmp_path):
+    """A package that is missing is an error, not a shorter list of queries."""
+    import shutil
+
+    shutil.copytree(ROOT / "tidelog", tmp_path / "tidelog", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "tidelog" / "llm").mkdir()
+    (tmp_path / "tidelog" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "tidelog" / "llm" / "queries.py").write_text("import no_such_package\n")
+    (tmp_path / "corpus_pipeline.py").write_text("")
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"}, capture_output=True, text=True)
+    assert done.returncode and "no_such_package" in done.stderr
+
