@@ -1,6 +1,7 @@
 """Secret scans, mixing and chat formatting."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -127,6 +128,53 @@ def test_chat_round_trip_and_states(spark):
     assert [s.loss for s in one.segments] == [False, False, False, False, True, False]
 
 
+CHATS = [
+    chat.Template(), chat.Template(head="[INST] ", colon="=> ", end="[/end]\n"), chat.Template(head="<|im_start|>", colon="\n", end="<|im_end|>\n", mark="%"), chat.Template(head="cat", colon="=", end="dog", mark="$"),
+]
+BITS = ["### ", "#", " ", "</turn>", "</turn>\n", "<", "\\", "\\a", "\\b", "\\d", ": ", ":", "[/end]", "\n", "[INST] ", "<|im_end|>", "<|im_start|>", "%a", "%", "cat", "ca", "tcat", "dog", "do", "$a", "$", "$b", "=", "=> ", "x", "é🙂"]
+
+
+@pytest.mark.parametrize("template", CHATS)
+def test_chat_round_trip_of_any_text(spark, template):
+    """Random texts and roles of markers, parts of markers, marks and codes, under several templates."""
+    r = random.Random(11)
+    glue = lambda n: "".join(r.choice(BITS) for _ in range(r.randrange(n)))
+    turns = [(i, k, r.choice(["assistant", "user", glue(5)]), glue(12)) for i in range(150) for k in range(3)]
+    chats = chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), template)
+    back = {x.conv_id: x for x in chat.read_back(chats, template).collect()}
+    segments = {x.conv_id: x.segments for x in chats.collect()}
+    for i in range(150):
+        own = [(role, text) for c, _, role, text in turns if c == i]
+        assert [(t.role, t.text) for t in back[i].turns] == own
+        assert back[i].loss_text == "".join(t for role, t in own if role == "assistant")
+        for role, text, end in zip(segments[i][0::3], segments[i][1::3], segments[i][2::3]):
+            assert end.text == template.end and template.head not in text.text and template.end.strip() not in text.text
+            assert template.head not in role.text[len(template.head) :] and template.colon not in role.text[len(template.head) : -len(template.colon)]
+
+
+def test_chat_leaves_plain_text_alone(spark):
+    said = "Ratio 3:1 is < 4 # no heading\n#5 a:b C:\\new <b>"
+    chats = chat.format_chats(spark.createDataFrame([(1, 0, "user", said)], "conv_id long, turn long, role string, text string"))
+    assert chats.first().formatted == f"### user: {said}</turn>\n"
+
+
+@pytest.mark.parametrize("wrong", [{"head": ""}, {"end": "abab"}, {"head": "a\\b"}, {"mark": "ab"}])
+def test_chat_templates_that_cannot_be_read_back(wrong):
+    with pytest.raises(ValueError):
+        chat.Template(**wrong)
+
+
+def test_chat_state_is_in_the_plan(spark):
+    plan = queries.op7(spark, str(DATA / "sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "answered" in plan and "valid" in plan
+
+
+def test_chats_with_clashing_columns(spark):
+    names = ["turns", "segments", "state", "valid", "formatted", "loss_text"]
+    rows = spark.createDataFrame([(1, 0, "user", "hi", *[9] * 6)], "conv_id long, turn long, role string, text string, " + ", ".join(f"{n} int" for n in names))
+    assert [(r.n_turns, r.valid, r.state) for r in chat.digests(chat.format_chats(rows)).collect()] == [(1, True, "asked")]
+
+
 @pytest.mark.parametrize("sizes", [{"a": 10, "b": 10, "c": 10}, {"a": 1, "b": 100, "c": 1000, "d": 5}, {"a": 0, "b": 7}, {None: 3, "z": 900}])
 def test_targets_by_resharing(spark, sizes):
     """Brute force: share by weight, cut at twice the size, share the excess again until none is above."""

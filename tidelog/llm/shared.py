@@ -2,31 +2,44 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+from tidelog.sources.scratch import shared_base
 
 #: A key with more than this share of all rows is hot, so there are at most this many hot keys.
 HOT_PARTS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's `spark.checkpoint.dir`; where it is unset (tests), a temporary folder."""
-    base, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
-    if base is None:
-        base = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="tidelog-"))
-    return f"{base.rstrip('/')}/tidelog-{app}"
-
-
-def release(spark: SparkSession) -> None:
-    """Delete this application's intermediate tables. Results that are still to be computed may read
-    them, so write those first."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    """This application's folder below `spark.checkpoint.dir`; where that is unset, which only a local master allows, a temporary one."""
+    return f"{shared_base(spark)}/tidelog-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def release(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete this application's intermediate tables, other than those that `keep` reads. Results that are still to
+    be computed may read them, so write those first."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    held = {f.rsplit("/", 2)[-2] for df in keep for f in df.inputFiles()}
+    for s in fs.listStatus(at) if fs.exists(at) else []:
+        if s.getPath().getName() not in held:
+            fs.delete(s.getPath(), True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that `stored` gave and nothing reads any more, so that the disk holds one step's tables and not all."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if f"/tidelog-{df.sparkSession.sparkContext.applicationId}/" in path:
+                _delete(df.sparkSession, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
