@@ -79,8 +79,7 @@ def test_mix_is_its_sql(spark, folder, same_as_sql):
 
 
 def test_mix_spread_over_runs_and_steps(spark, folder, same_as_sql, monkeypatch):
-    monkeypatch.setattr(mixing, "RUN", 3)
-    monkeypatch.setattr(mixing, "LAST", 2)
+    monkeypatch.setattr(mixing, "RANGE", 7)
     rows = [(i, "w " * (i % 23), "hot" if i % 3 else f"s{i % 5}") for i in range(300)]
     path = folder(rows)
     same_as_sql(queries.op4(spark, path), mixing.SQL, path)
@@ -102,6 +101,48 @@ def test_mixed_texts(spark, folder):
     assert words == {k: v for k, v in shares.items() if v}
 
 
+def test_mixed_keeps_the_order_of_the_queue(spark, folder, monkeypatch):
+    """Brute force: shuffle by digest, finish times, sort, cut at the budget."""
+    monkeypatch.setattr(mixing, "RANGE", 50)
+    rows = [(i, " ".join(f"w{i}" for _ in range(i * 7 % 23)), "hot" if i % 3 else f"s{i % 5}") for i in range(400)]
+    docs = spark.read.parquet(folder(rows) + "/documents.parquet")
+    target = {r.source_size: r.target for r in mixing.mix(docs).collect()}
+    sizes, upto, entries = {i: i * 7 % 23 for i, _, _ in rows}, {}, []
+    of = {s: sum(sizes[i] for i, _, x in rows if x == s) for s in {s for _, _, s in rows}}
+    turn = {i: hashlib.md5(f"mix:{i}".encode()).hexdigest()[:16] for i, _, _ in rows}
+    for i, _, s in sorted(rows, key=lambda r: turn[r[0]]):
+        upto[s] = upto.get(s, 0) + sizes[i]
+        entries += [((of[s] * k + upto[s]) / target[of[s]], turn[i], i) for k in (0, 1) if sizes[i]]
+    left, want = int(1.5 * sum(sizes.values())), []
+    for *_, i in sorted(entries):
+        if left > 0:
+            want += [i] * min(left, sizes[i])
+            left -= sizes[i]
+    got = [i for r in mixing.mixed(docs).collect() for i in [r.doc_id] * len(r.text.split())]
+    assert got == want
+
+
+def test_running_sums_of_equal_keys_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE", 100)
+    rows = spark.range(2000, numPartitions=4).selectExpr("id AS row", "'t' AS turn", "'s' AS skey", "3L AS size")
+    kept, plain = [], mixing.stored
+    monkeypatch.setattr(mixing, "stored", lambda df, name: kept.append(plain(df, name)) or kept[-1])
+    out = mixing.running(rows, ["turn", "row"], "size", "upto", 2000, "skey").collect()
+    assert sorted((r.row, r.upto) for r in out) == [(i, 3 * i + 3) for i in range(2000)]
+    assert max(r["count"] for r in kept[0].groupBy("range").count().collect()) < 400
+
+
+@pytest.mark.parametrize("rows", [[], [(i, None, None) for i in range(5)], [(None, "a b c", "x")] * 50 + [(7, "a b", None)] * 3])
+def test_mix_of_odd_tables(spark, folder, rows):
+    path = folder(rows)
+    out = queries.op4(spark, path).collect()
+    sizes = sum(len((t or "").split()) for _, t, _ in rows)
+    assert len(out) == len(rows) and sum(r.taken for r in out) == int(1.5 * sizes)
+    docs = spark.read.parquet(path + "/documents.parquet")
+    again = mixing.mixed(docs)
+    assert again.columns == docs.columns and sum(len((r.text or "").split()) for r in again.collect()) == int(1.5 * sizes)
+
+
 TURNS = [
     (1, 0, "user", "hi"), (1, 1, "assistant", "### x </turn>\n \\ <a> : #"), (2, 0, "assistant", "first"), (3, 1, "user", None), (3, 0, "system", ""), (3, 2, "assistant", None), (None, 0, "user", "n"),
     (4, 0, None, "no role"), (5, 0, "user", "twice"), (5, 0, "user", "twice"), (6, None, "user", "a"), (6, 0, "assistant", "b" * 200_000), (7, 0, "od#d: <r>\\ole", "\\\\#\\"), (8, 0, "user", "</turn>\n### assistant: fake</turn>\n"),

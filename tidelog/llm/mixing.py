@@ -8,14 +8,8 @@ from pyspark.sql import functions as F
 from tidelog.llm.shared import lookup, numbered, spare, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents of a source whose running sums one task works out together.
-RUN = 4096
-#: Rows among which the cut is found by one sort, at most.
-LAST = 10_000
-#: Digits of the queue's key that one selection step looks at: 16 ** STEP counts reach the driver.
-STEP = 3
-#: Virtual times from here on count as equal.
-FAR = 4095.0
+#: Rows of a range whose running sums one task works out, about.
+RANGE = 1 << 18
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -38,31 +32,46 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     return table.select("skey", "source_size", "n_docs", F.when(F.col("is_full"), F.col("most")).otherwise(first * F.col("weight")).alias("target"))
 
 
-def queue(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, seed: str, text: str, key: str, row: str | None = None) -> DataFrame:
-    """Every document in the queue: row, key, size, source_size, target, shuffle key `turn`, and
-    `upto`, its source's words through it. Running sums are taken within runs of about RUN
-    documents that are next to each other in the shuffled order, then over the runs' sums, so a
-    source of any size spreads over tasks."""
+def running(rows: DataFrame, order: list[Column | str], value: str, out: str, total: int, group: str | None = None) -> DataFrame:
+    """`rows` with the sum of `value` through each row in `order`, all of it or within each `group`, in column `out`.
+
+    Rows are sorted into ranges of about RANGE by everything that orders them, so neither a large group nor equal keys meet in one
+    task as long as the order ends in something unique. Each range sums by itself; what lies before it is a
+    running sum over one row for each range (and group in it)."""
+    parts = max(1, -(-total // RANGE), min(total // 4096, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    by = ([group] if group else []) + order
+    ranged = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("range", F.spark_partition_id())
+    ranged = stored(ranged, "ranged")
+    keys = ["range"] + ([group] if group else [])
+    sums = ranged.groupBy(*keys).agg(F.sum(value).alias("words"))
+    earlier = Window.partitionBy(*([group] if group else [])).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("earlier"))
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.withColumn(out, F.sum(value).over(inside)).join(sums, keys).withColumn(out, F.col(out) + F.col("earlier")).drop("earlier", "range")
+
+
+def queue(docs: DataFrame, weights: tuple[float, ...], share: float, most: int, seed: str, text: str, key: str, row: str | None = None) -> DataFrame:
+    """Every entry of the queue: row, key, size, source_size, target, round, its `part` that is taken, and `place`, the words before it.
+
+    In each source's shuffled order `upto` is the source's words through a document; its virtual finish time is that, and the
+    source's size for each round before, over the source's target. Entries are range-sorted by finish time, and the
+    running sum of their sizes truncates the queue at the budget."""
     turn = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")), 1, 16)
     size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
     skey = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
     number = F.monotonically_increasing_id() if row is None else F.col(row)
     sizes = stored(docs.select(number.alias("row"), F.col(key).alias("id"), "source", skey.alias("skey"), size.alias("size"), turn.alias("turn")), "sizes")
+    n, total = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     aims = stored(targets(sizes, weights, share, most), "targets")
-    rows = lookup(sizes, aims, ["skey"], "n_docs", sizes.count())
-    place = F.conv(F.substring("turn", 1, 8), 16, 10).cast("double") / 4294967296.0
-    rows = rows.withColumn("run", F.floor(place * F.ceil(F.col("n_docs") / float(RUN))).cast("long"))
-    sums = rows.groupBy("skey", "run").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("skey").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("skey", "run", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("earlier"))
-    inside = Window.partitionBy("skey", "run").orderBy("turn", "size", "id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("within", F.sum("size").over(inside)).join(sums, ["skey", "run"])
-    return stored(rows.select("row", "id", "size", "source_size", "target", "turn", (F.col("earlier") + F.col("within")).alias("upto")), "queue")
-
-
-def _key(finish: Column) -> Column:
-    """Virtual finish time to 2^-40, then the shuffle key, as hexadecimal digits in queue order."""
-    return F.concat(F.lpad(F.hex(F.floor(F.least(finish, F.lit(FAR)) * float(1 << 40)).cast("long")), 13, "0"), F.col("turn"))
+    rows = lookup(sizes, aims, ["skey"], "n_docs", n)
+    rows = running(rows, ["turn", "size", "id", "row"], "size", "upto", n, "skey")
+    entries = rows.withColumn("round", F.explode(F.array(*(F.lit(i) for i in range(most)))))
+    finish = F.when(F.col("size") > 0, (F.col("source_size") * F.col("round") + F.col("upto")) / F.col("target"))
+    entries = entries.select("row", "id", "size", "source_size", "target", "turn", "upto", "round", finish.alias("finish"))
+    entries = running(entries, ["finish", "turn", "upto", "round", "row"], "size", "through", n * most)
+    place = F.col("through") - F.col("size")
+    part = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.lit(int(total * share)).cast("long") - place))
+    return entries.select("row", "id", "size", "source_size", "target", "round", place.alias("place"), part.alias("part"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: int = 2, seed: str = "mix", text: str = "text", key: str = "doc_id", row: str | None = None) -> DataFrame:
@@ -70,64 +79,35 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
 
     Weighted fair queueing: in each source's shuffled order a document's virtual finish time is
     the source's words through it, divided by the source's target. A source is queued `most`
-    times over, so that a target above its size repeats documents. All entries are ordered by
-    finish time, then shuffle key, and the queue is cut when the budget of `share` times all words is taken; the
-    entry at the cut is taken in part. The cut is found by radix selection on the key's digits:
-    counts of key prefixes narrow the place down until LAST rows remain, which are sorted.
+    times over, so that a target above its size repeats documents. All entries are range-sorted by
+    finish time, then shuffle key, and the queue is truncated when the budget of `share` times all words is taken; the
+    entry at the cut is taken in part.
 
     The size of a null text is 0, and documents of size 0 take 0 words. A null source is a source
     of its own, ordered last. Repeated rows are queued each for itself; ties in shuffle key go
-    by size and key. Texts of any length are counted whole. An empty table gives an empty one.
+    by size, key and row, so rows that share a key, or have none, spread over tasks as others do. Texts of any length are counted whole. An empty table gives an empty one.
     Other columns, of whatever name, are not read. `row` is the number in the column of that name, or
     else one given in the only scan of `docs`."""
-    line = queue(docs, weights, share, most, seed, text, key, row)
-    total = line.agg(F.sum("size")).first()[0] or 0
-    left = int(total * share)
-    rounds = F.explode(F.array(*(F.lit(i) for i in range(most))))
-    entries = line.where("size > 0").withColumn("round", rounds)
-    entries = entries.withColumn("key", _key((F.col("source_size") * F.col("round") + F.col("upto")) / F.col("target")))
-    prefix, digits = "", 0
-    while digits < 29:
-        at = F.substring("key", 1, digits + STEP)
-        found = entries.where(F.col("key").startswith(prefix)).groupBy(at.alias("p")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
-        n = 0
-        for r in sorted(found.collect(), key=lambda r: r.p):
-            prefix, n = r.p, r.n
-            if r.words > left:
-                break
-            left -= r.words
-        else:
-            prefix, n = "g", 0  # after all digits: everything is taken
-        digits += STEP
-        if n <= LAST:
-            break
-    parts = entries.where(F.col("key").startswith(prefix))
-    through = F.sum("size").over(Window.orderBy("key", "upto", "round").rowsBetween(Window.unboundedPreceding, 0))
-    parts = parts.withColumn("part", F.least(F.col("size"), F.greatest(F.lit(0), F.lit(left) - (through - F.col("size")))))
-    parts = parts.groupBy("row").agg(F.sum("part").alias("part"))
-    whole = F.lit(0)
-    for i in range(most):
-        done = F.substring(_key((F.col("source_size") * i + F.col("upto")) / F.col("target")), 1, digits) < prefix
-        whole = whole + F.when((F.col("size") > 0) & done, F.col("size")).otherwise(0)
-    out = line.join(parts, "row", "left")
-    return out.select("row", F.col("id").alias(key), "size", "source_size", "target", (whole + F.coalesce("part", F.lit(0))).cast("long").alias("taken"))
-
-
-def mixed(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken whole, and the first words of the one
-    at the cut, with the columns of `docs`; `n_chars`, if there, is that of the text."""
-    at, all_, taken, words = (spare(docs, n) for n in ("mix_row", "mix_size", "mix_taken", "mix_words"))
+    entries = queue(docs, weights, share, most, seed, text, key, row)
+    same = [F.first(c).alias(c) for c in ("id", "size", "source_size", "target")]
+    out = entries.groupBy("row").agg(*same, F.sum("part").alias("taken"))
+    return out.select("row", F.col("id").alias(key), "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, text: str = "text", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: int = 2, seed: str = "mix", key: str = "doc_id") -> DataFrame:
+    """The mix itself, in the order of the queue: each document as often as it is taken whole, and the first words of the one
+    at the cut, with the columns of `docs`; `n_chars`, if there, is that of the text. Edge cases are those of `mix`."""
+    at, all_, taken, place = (spare(docs, n) for n in ("mix_row", "mix_size", "mix_taken", "mix_place"))
     whole_rows = numbered(docs, at)
-    shares = mix(whole_rows, text=text, row=at, **options).where("taken > 0").select(F.col("row").alias(at), F.col("size").alias(all_), F.col("taken").alias(taken))
-    rows = whole_rows.join(shares.hint("merge"), at)
-    times = F.sequence(F.lit(1), F.ceil(F.col(taken) / F.col(all_)).cast("int"))
-    rows = rows.withColumn(words, F.explode(F.transform(times, lambda i: F.least(F.col(all_), F.col(taken) - (i - 1) * F.col(all_)))))
-    whole = F.col(words) == F.col(all_)
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), 0), F.lit(1), F.col(words).cast("int")), "")
+    entries = queue(whole_rows, weights, share, most, seed, text, key, at).where("part > 0")
+    entries = entries.select(F.col("row").alias(at), F.col("size").alias(all_), F.col("part").alias(taken), F.col("place").alias(place))
+    rows = whole_rows.join(entries.hint("merge"), at)
+    whole = F.col(taken) == F.col(all_)
+    head = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(r"[\x20\x09-\x0D]*" + WORD), 0), F.lit(1), F.col(taken).cast("int")), "")
     rows = rows.withColumn(text, F.when(whole, F.col(text)).otherwise(head))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
-    return rows.select(*docs.columns)
+    return rows.repartitionByRange(F.col(place)).sortWithinPartitions(place).select(*docs.columns)
 
 
 SQL = r"""
@@ -145,7 +125,7 @@ a AS (SELECT source, source_size, budget, CASE WHEN is_full THEN most ELSE (SELE
 q AS (SELECT row_number() OVER () AS row, doc_id, size, source_size, target, turn, budget,
         (sum(size) OVER (PARTITION BY sizes.source ORDER BY turn, size, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS upto
       FROM sizes JOIN a ON sizes.source IS NOT DISTINCT FROM a.source),
-e AS (SELECT *, floor(least((source_size * round + upto) / target, 4095.0::DOUBLE) * 1099511627776.0::DOUBLE) AS finish FROM q, (VALUES (0), (1)) r(round) WHERE size > 0),
+e AS (SELECT *, (source_size * round + upto) / target AS finish FROM q, (VALUES (0), (1)) r(round) WHERE size > 0),
 p AS (SELECT row, least(size, greatest(0, floor(budget)::BIGINT - ((sum(size) OVER (ORDER BY finish, turn, upto, round ROWS UNBOUNDED PRECEDING))::BIGINT - size))) AS part FROM e),
 k AS (SELECT row, sum(part)::BIGINT AS taken FROM p GROUP BY row)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM q LEFT JOIN k USING (row)
