@@ -166,6 +166,37 @@ def test_search_recall(spark):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("odd", [1e20, 3e37, 1e-20, 1e-40])
+def test_search_beside_odd_sizes(spark, folder, rng, odd):
+    """A few huge or tiny finite vectors leave the shortlists of the others as good as they were, and are found themselves."""
+    x = (rng.normal(size=(40, 8)).repeat(40, 0) + 0.1 * rng.normal(size=(1600, 8))).astype(np.float32)
+    x[[5, 700, 800]] *= np.float32(odd)
+    x[900, 3] = np.float32(odd)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    want, got = brute_nearest(rows), {}
+    docs = spark.read.parquet(folder(vectors=rows) + "/embeddings.parquet")
+    for r in neighbours.nearest(docs, docs.vec_id % 100 == 0, shortlist=40, books=8).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = [len(got[q] & {i for _, i in near}) for q, (near,) in want.items()]
+    assert sum(hits) >= 0.97 * 10 * len(want) and len(want) == 16
+
+
+@pytest.mark.parametrize(("part", "block", "vectors", "queries"), [(64, 3, 1 << 21, 5), (50, 128, 100, 1 << 13)])
+def test_search_does_not_depend_on_the_deal(spark, folder, rng, monkeypatch, part, block, vectors, queries):
+    rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(900)] + [(1000 + i, [1.0] * 8) for i in range(300)]
+    docs = spark.read.parquet(folder(vectors=rows) + "/embeddings.parquet")
+    run = lambda: neighbours.nearest(docs, docs.vec_id % 20 == 0, shortlist=30, books=8).orderBy("query_id", "rank").collect()
+    want = run()
+    for name, n in (("PART", part), ("BLOCK", block), ("VECTORS", vectors), ("QUERIES", queries)):
+        monkeypatch.setattr(neighbours, name, n)
+    assert run() == want and len(want) == 10 * 60
+
+
+def test_lengths_of_any_size():
+    x = np.array([[3e200, 4e200], [3e-200, 4e-200], [3.0, 4.0], [-5e-324, 0.0]])
+    assert np.allclose(neighbours.lengths(x)[:3] / [5e200, 5e-200, 5], 1) and neighbours.lengths(x)[3] == 5e-324
+
+
 def test_encoding_finds_sums_of_words(rng):
     x = rng.normal(size=(600, 16)).astype(np.float32)
     c = neighbours.Codebooks.fit(x, books=6, words=16, rounds=2)

@@ -15,10 +15,10 @@ from tidelog.llm.shared import given_rows, lookup, stored
 
 #: Vectors that the codebooks are fitted on, at most.
 FIT_ROWS = 8192
-#: Vectors in a part of the index, and queries in a block.
-PART, BLOCK = 65536, 128
-#: Vectors that one task scores for a block of queries, about.
-SPLIT = 1 << 18
+#: Vectors in a part of the index, and queries whose tables are held at once.
+PART, BLOCK = 1 << 16, 128
+#: Vectors and queries of one task, at most about: its queries stay, with their shortlists, and the parts of its vectors pass.
+VECTORS, QUERIES = 1 << 21, 1 << 13
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -106,6 +106,19 @@ def lookups(tables: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndar
     return score
 
 
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Euclidean lengths without overflow or underflow of squares."""
+    most = np.abs(x).max(1)
+    return most * np.sqrt(((x / most[:, None]) ** 2).sum(1))
+
+
+def scores(tables: np.ndarray, codes: np.ndarray, norms: np.ndarray, sizes: np.ndarray, length: float) -> np.ndarray:
+    """Squared distances of one query of unit length times `length` to vectors that were coded at unit length and have `sizes`:
+    |q|^2 + |v|^2 - 2 q.v in double precision, whatever the sizes; only the products of unit vectors are single. What the exact
+    measure can't tell apart beside a far longer query, this can't either, so ties go to the same ids."""
+    return length * length + sizes * (sizes * norms + length * lookups(tables, codes, np.zeros(len(codes), np.float32)))
+
+
 def best(score: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
     """Places of the `most` least scores in order, ties to the smaller id."""
     at = np.arange(len(score))
@@ -128,9 +141,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, shortlist: int = 4
     """Rows (query_id, rank, key, score): the k nearest found of each query row by Euclidean distance
     in double precision, against every other row, ties to the smaller key.
 
-    1. Codebooks are fitted on about FIT_ROWS vectors. 2. Every vector is encoded; codes and the
-    norms of what they decode to go to an index in the shared folder. 3. Blocks of BLOCK queries
-    meet parts of the index; lookup tables score every vector and the `shortlist` best are kept. 4. Those
+    1. Codebooks are fitted on about FIT_ROWS vectors of unit length. 2. Every vector is coded at unit length; codes, the
+    norms of what they decode to and the vectors' own lengths go to an index in the shared folder, so vectors of any finite size
+    are coded equally well. 3. A task holds up to QUERIES queries, with a shortlist each, and lets the parts of up to
+    VECTORS vectors pass; lookup tables score every vector and the `shortlist` best are kept. 4. Those
     are scored again on the original vectors.
 
     Rows whose vector is null, zero, holds a null or non-finite component, or has another length than most,
@@ -138,85 +152,99 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, shortlist: int = 4
     With fewer than k candidates all are returned, none from an empty table. Other columns are not read."""
     spark = vectors.sparkSession
     rows = given_rows(vectors, None, F.col(key).alias("id"), F.col(vector).alias("v"), queries.alias("asks"))
-    sizes = rows.where(F.size("v") > 0).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    dims = rows.where(F.size("v") > 0).groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     shape = f"query_id long, rank int, {key} long, score double"
-    if sizes is None:
+    if dims is None:
         return spark.createDataFrame([], shape)
-    rows = rows.where(F.col("id").isNotNull() & usable(F.col("v"), sizes["d"]))
+    rows = rows.where(F.col("id").isNotNull() & usable(F.col("v"), dims["d"]))
     total, asked = rows.agg(F.count("*"), F.count_if("asks")).first()
     if not total:
         return spark.createDataFrame([], shape)
     some = rows if total <= FIT_ROWS else rows.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int((1 << 30) * FIT_ROWS / total))
-    model = spark.sparkContext.broadcast(Codebooks.fit(_matrix(some.select("row", "v").toArrow().sort_by("row").column("v").combine_chunks()), books))
+    sample = _matrix(some.select("row", "v").toArrow().sort_by("row").column("v").combine_chunks())
+    model = spark.sparkContext.broadcast(Codebooks.fit(sample / lengths(sample)[:, None], books))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def part() -> pa.RecordBatch:
-            r, i, c, n = (np.concatenate(x) for x in zip(*held))
+            columns = [np.concatenate(x) for x in zip(*held)]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([int(r[0])]), *(pa.array([x.tobytes()], pa.binary()) for x in (r, i, c, n))], ["part", "rows", "ids", "codes", "norms"])
+            return pa.RecordBatch.from_arrays([pa.array([int(columns[0][0])]), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], ["part", "rows", "ids", "codes", "norms", "sizes"])
 
         for b in batches:
             if b.num_rows:
-                codes = model.value.encode(_matrix(b.column(2)), beam)
+                x = _matrix(b.column(2))
+                size = lengths(x)
+                codes = model.value.encode(x / size[:, None], beam)
                 norms = (model.value.decode(codes) ** 2).sum(1).astype(np.float32)
-                held.append((b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64), codes, norms))
+                held.append((b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64), codes, norms, size))
             if sum(len(h[0]) for h in held) >= PART:
                 yield part()
         if held:
             yield part()
 
-    index = stored(rows.select("row", "id", "v").mapInArrow(encode, "part long, rows binary, ids binary, codes binary, norms binary"), "codes")
-    blocks, splits = -(-asked // BLOCK), -(-total // SPLIT)
+    columns = ["rows", "ids", "codes", "norms", "sizes"]
+    index = stored(rows.select("row", "id", "v").mapInArrow(encode, "part long, " + ", ".join(f"{c} binary" for c in columns)), "codes")
+    blocks = -(-asked // BLOCK) or 1
+    groups = -(-asked // QUERIES) or 1
+    splits = min(-(-total // PART), max(-(-total // VECTORS), int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def gather(given: pa.Table) -> pa.Table:
         given = given.sort_by("row")
         v = _matrix(given.column("v").combine_chunks())
-        return pa.table({"block": given.column("block")[:1], "asking": pa.array([given.column("row").to_numpy().tobytes()], pa.binary()), "table": pa.array([v.tobytes()], pa.binary())})
-
-    block = F.pmod(F.xxhash64("row"), F.lit(max(1, blocks))).cast("int").alias("block")
-    asks = rows.where("asks").select(block, "row", "v").groupBy("block").applyInArrow(gather, "block int, asking binary, table binary")
-    every = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(1, blocks) - 1))))
-    met = every.withColumn("split", F.pmod(F.xxhash64("part"), F.lit(splits))).join(asks, "block")
-    met = met.repartition(max(1, min(blocks * splits, 100_000)), "block", "split").sortWithinPartitions("block", "part")
+        size = lengths(v)
+        values = given.column("row").to_numpy(), size, (v / size[:, None]).astype(np.float32)
+        return pa.table({"block": given.column("block")[:1]} | {c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(columns, values)})
+
+    block = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block")
+    asks = rows.where("asks").select(block, "row", "v").groupBy("block").applyInArrow(gather, "block int, rows binary, ids binary, codes binary")
+    none = [F.lit(None).cast("binary").alias(c) for c in columns[3:]]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asks = asks.select(F.pmod("block", F.lit(groups)).alias("group"), every(splits).alias("split"), F.lit(0).alias("side"), F.col("block").cast("long").alias("part"), *columns[:3], *none)
+    parts = index.select(every(groups).alias("group"), F.pmod(F.xxhash64("part"), F.lit(splits)).cast("int").alias("split"), F.lit(1).alias("side"), "part", *columns)
+    met = asks.unionByName(parts).repartition(min(groups * splits, 100_000), "group", "split").sortWithinPartitions("group", "split", "side", "part")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, asking, tables = None, None, None
-        held: list[tuple] = []
+        now, asking, short = None, [], {}
 
-        def short() -> pa.RecordBatch:
-            out = [(np.full(len(r), a), r, i, s) for a, (r, i, s) in zip(asking, held)]
-            cols = [np.concatenate(c) for c in zip(*out)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["ask", "row", "id", "near"])
+        def found() -> Iterator[pa.RecordBatch]:
+            for own, _, _ in asking:
+                out = [(np.full(len(short[a][0]), a), *short[a]) for a in own.tolist() if a in short]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["ask", "row", "id", "near"])
 
         for b in batches:
-            for r in b.to_pylist():
-                if r["block"] != now:
-                    if now is not None:
-                        yield short()
-                    now, asking = r["block"], np.frombuffer(r["asking"], np.int64)
-                    tables = model.value.tables(np.frombuffer(r["table"]).reshape(len(asking), -1))
-                    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
-                    held = [none] * len(asking)
-                own, ids, norms = np.frombuffer(r["rows"], np.int64), np.frombuffer(r["ids"], np.int64), np.frombuffer(r["norms"], np.float32)
-                codes = np.frombuffer(r["codes"], np.uint8).reshape(len(own), -1)
-                for q, ask in enumerate(asking):
-                    s = lookups(tables[q], codes, norms)
-                    s[own == ask] = np.inf
-                    at = best(s, ids, shortlist)
-                    at = at[own[at] != ask]
-                    joined = [np.concatenate(x) for x in zip(held[q], (own[at], ids[at], s[at]))]
-                    top = best(joined[2], joined[1], shortlist)
-                    held[q] = tuple(x[top] for x in joined)
-        if now is not None:
-            yield short()
+            for i in range(b.num_rows):
+                group, split, side, _, *held = (c[i].as_py() for c in b.columns)
+                if (group, split) != now:
+                    yield from found()
+                    now, asking, short = (group, split), [], {}
+                if side == 0:
+                    own = np.frombuffer(held[0], np.int64)
+                    asking.append((own, np.frombuffer(held[1]), np.frombuffer(held[2], np.float32).reshape(len(own), -1)))
+                    continue
+                row, ids, norms, sizes = np.frombuffer(held[0], np.int64), np.frombuffer(held[1], np.int64), np.frombuffer(held[3], np.float32), np.frombuffer(held[4])
+                codes = np.asfortranarray(np.frombuffer(held[2], np.uint8).reshape(len(row), -1).astype(np.intp))
+                for own, length, unit in asking:
+                    tables = model.value.tables(unit)
+                    for q, ask in enumerate(own.tolist()):
+                        s = scores(tables[q], codes, norms, sizes, length[q])
+                        s[row == ask] = np.inf
+                        at = best(s, ids, shortlist)
+                        at = at[row[at] != ask]
+                        if ask in short:
+                            joined = [np.concatenate(x) for x in zip(short[ask], (row[at], ids[at], s[at]))]
+                            top = best(joined[2], joined[1], shortlist)
+                            short[ask] = tuple(x[top] for x in joined)
+                        else:
+                            short[ask] = (row[at], ids[at], s[at])
+        yield from found()
 
     def first(rows: DataFrame, by: str, n: int) -> DataFrame:
         return rows.withColumn("rank", F.row_number().over(Window.partitionBy("ask").orderBy(by, "id", "row"))).where(F.col("rank") <= n)
 
-    columns = F.col("block"), F.col("part"), F.col("rows"), F.col("ids"), F.col("codes"), F.col("norms"), F.col("asking"), F.col("table")
-    short = stored(first(met.select(*columns).mapInArrow(score, "ask long, row long, id long, near float"), "near", shortlist).select("ask", "row", "id"), "shortlist")
+    short = stored(first(met.mapInArrow(score, "ask long, row long, id long, near double"), "near", shortlist).select("ask", "row", "id"), "shortlist")
     uses = short.groupBy("row").agg(F.count("*").alias("uses")).join(rows.select("row", "v"), "row")
     pairs = lookup(short, stored(uses, "originals"), ["row"], "uses", short.count())
     pairs = pairs.join(rows.where("asks").select(F.col("row").alias("ask"), F.col("id").alias("query_id"), F.col("v").alias("q")), "ask")
