@@ -1,5 +1,7 @@
 """Quality, toxicity and search: accuracy on what was held out, and edges."""
 
+import random
+import re
 import zlib
 
 import numpy as np
@@ -100,6 +102,87 @@ def test_clauses(text, kind):
     assert [k for k, v in zip(toxicity.KINDS, found) if v] == ([kind] if kind else [])
 
 
+def acceptor(clause):
+    """Kinds of a clause by regular expressions over one letter a word."""
+    letters = "".join({"gronk": "i", "kill": "h", "you": "t", "not": "n", "said": "r"}.get(w, "p") for w in clause)
+    at = len(toxicity.KINDS) // 2 * ("t" in letters)
+    out = set()
+    for m in re.finditer("[ih]", letters):
+        before = letters[: m.start()]
+        how = 2 if "r" in before else 1 if re.search("n.?.?$", before) else 0
+        out.add(toxicity.KINDS[at + 3 * (m[0] == "h") + how])
+    return out
+
+
+def test_grammar_is_the_acceptor():
+    r, g = random.Random(3), grammar("gronk")
+    texts = [[[r.choice(["gronk", "kill", "you", "not", "said", "word", "more"]) for _ in range(r.randrange(1, 9))] for _ in range(r.randrange(1, 4))] for _ in range(800)]
+    found = np.concatenate([g.matches(cps, bounds) for _, _, cps, bounds in chunks([". ".join(" ".join(c) for c in t) for t in texts])])
+    for t, row in zip(texts, found):
+        want = [kind for c in t for kind in acceptor(c)]
+        assert {k for k, v in zip(toxicity.KINDS, row) if v} == set(want)
+
+
+def test_transducers_read_each_other():
+    _, writes, parts = toxicity.compose(toxicity.negations, toxicity.reports, toxicity.targets)
+    assert {p[1] for p in parts} == {0, 1} and set(writes.ravel().tolist()) == set(range(10))
+    alone, *_ = toxicity.compose(toxicity.reports)
+    assert len(alone) == 2 < len(parts)
+
+
+def spoken(r, n):
+    """Texts of which a quarter holds an insult, and one in ten of the others one that is negated or reported."""
+    common = [f"word{i}" for i in range(60)]
+    out = []
+    for i in range(n):
+        said = ["you {0}", "you are a {0}", "what a {0}"] if i % 4 == 0 else ["not a {0}", "you are no {0}", "they said {0}", "he called her {0} loudly"]
+        filler = [" ".join(r.choices(common, k=6)) for _ in range(4)]
+        if i % 4 == 0 or i % 13 == 1:
+            filler.insert(2, r.choice(said).format(r.choice(["vrutz", "gronk", "blarg"])))
+        out.append((". ".join(filler), int(i % 4 == 0)))
+    return out
+
+
+def test_the_grammar_changes_verdicts(rng):
+    """An ablation: with the transducers the same lexicon tells insults from negated and reported ones; sums of its words can't."""
+    r = random.Random(6)
+    texts, toxic = zip(*spoken(r, 3000))
+    g = toxicity.learn(list(texts), np.array(toxic))
+    new, truth = zip(*spoken(r, 1500))
+    truth = np.array(truth)
+    x = toxicity._matched(list(new), g)
+    by_clauses = g.score(x) >= 0.7
+    words_only = x.sum(1)
+    best = max(((words_only >= t) == truth).mean() for t in np.unique(words_only))
+    assert (by_clauses == truth).mean() > 0.98 > 0.95 > best
+
+
+def test_learned_targets_and_threats():
+    r = random.Random(9)
+    common = [f"word{i}" for i in range(80)]
+    texts, toxic = [], []
+    for i in range(900):
+        c = [" ".join(r.choices(common, k=7)) for _ in range(3)]
+        if i % 3 == 0:
+            c.insert(1, r.choice(["zorgs {0} vrutz", "we will snarf {0} zorgs"]).format(r.choice(common)) if i % 2 else "snarf you now")
+        texts.append(". ".join(c))
+        toxic.append(int(i % 3 == 0))
+    g = toxicity.learn(texts, np.array(toxic))
+    of = dict(zip(g.keys.tolist(), g.symbols.tolist()))
+    key = lambda w: int(toxicity._hashes([w])[0])
+    assert of[key("vrutz")] == toxicity.INSULT and of[key("snarf")] in (toxicity.INSULT, toxicity.THREAT)
+    assert key("word3") not in of
+
+
+def test_fit_on_executors_is_the_fit_on_the_driver(spark):
+    folder = str(DATA / "sf0.01")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = sorted(labelled.training_rows(docs, labels, "toxic", 10**6).collect(), key=lambda r: r.doc_id)
+    a, b = toxicity.fit(docs, labels), toxicity.learn([r.text for r in rows], np.array([r.label for r in rows]))
+    assert (a.keys == b.keys).all() and (a.symbols == b.symbols).all() and np.allclose(a.loads, b.loads)
+    assert np.allclose(a.weights, b.weights) and np.isclose(a.bias, b.bias)
+
+
 def test_lexicon_learns_words_and_beginnings(rng):
     common = [f"word{i}" for i in range(200)]
     texts, toxic = [], []
