@@ -1,7 +1,9 @@
 """Quality, toxicity and search: accuracy on what was held out, and edges."""
 
+import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -10,7 +12,7 @@ import pytest
 from tests.conftest import DATA
 from tests.llm.conftest import ROWS
 from tidelog.llm import labelled, neighbours, quality, queries, toxicity
-from tidelog.llm.textscan import chunks
+from tidelog.llm.textscan import WHITE, chunks
 
 
 def held(i):
@@ -80,6 +82,44 @@ def test_statistics_do_not_depend_on_the_chunk():
     assert np.allclose(whole, alone) and np.isfinite(whole).all()
 
 
+def measured(text):
+    """The sixteen statistics in plain Python."""
+    cat = [unicodedata.category(c)[0] for c in text]
+    white = [ord(c) in WHITE for c in text]
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    spans, at = [], None
+    for i in range(len(text) + 1):
+        if i < len(text) and not white[i]:
+            at = i if at is None else at
+        elif at is not None:
+            spans.append((at, i))
+            at = None
+    words, chars, letters = [low[a:b] for a, b in spans], max(len(text), 1), sum(k == "L" and not w for k, w in zip(cat, white))
+    lines = [x.rstrip("\n") for x in re.findall(r"[^\n]*\n|[^\n]+", low) if len(x) > 1]
+    n, m = len(words), len(lines)
+    share = lambda part, whole: math.log((part + 0.5) / (max(whole - part, 0) + 0.5))
+    return [
+        math.log1p(n), math.log1p(letters / max(n, 1)), share(sum(len(w) > 12 for w in words), n), share(sum(c.isupper() for c in text), letters), share(cat.count("N"), chars),
+        share(sum(k not in "LN" and not w for k, w in zip(cat, white)), chars), share(sum(c in "#$%&*@^~_=+<>" for c in text), chars), share(text.count("|"), chars), share(text.count("!"), chars), share(text.count("."), n), share(text.count(","), n),
+        share(sum(text[a].isupper() for a, _ in spans), n), share(sum(a == b for a, b in zip(words, words[1:])), n), share(len(set(words)), n) / max(1, math.log(n + 2)), share(m - len(set(lines)), m), math.log1p(n / max(m, 1)),
+    ]
+
+
+def test_statistics_are_what_they_say():
+    r = random.Random(12)
+    bits = ["a", "Ab", "the the", " ", "\n", "\n\n", ".", ", ", "!", "|", "#$", "12", "３", "Ünïcode", "日本語", "🙂", "\u3000", "\t", "\x00", "longer-than-twelve", "İ", "ß", "\u2028"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(40))) for _ in range(300)] + [t or "" for _, t, _ in ROWS]
+    found = np.concatenate([quality.statistics(c, b) for _, _, c, b in chunks(texts)])
+    assert np.allclose(found, [measured(t) for t in texts])
+
+
+def test_fit_on_huge_texts(spark, folder):
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choices([f"w{k}" for k in range(90)], k=300_000 if i in (3, 8) else 40)) + (". you vrutz" if i % 2 else ". fine"), "s") for i in range(120)]
+    out = queries.op6(spark, folder(rows, [(i, 1, i % 2) for i in range(120)])).collect()
+    assert [x.doc_id % 2 for x in out] == [x.predicted for x in out] and len(out) == 120
+
+
 def grammar(*insults):
     k = np.sort(toxicity._hashes(list(insults)))
     fixed = [(s, w) for s, line in toxicity.WORDS.items() for w in line.split()]
