@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,20 +21,38 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{shared_base(spark)}/tidelog-{spark.sparkContext.applicationId}"
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def made() -> Iterator[list[str]]:
+    """The paths of the tables that `stored` writes inside."""
+    paths: list[str] = []
+    token = _MADE.set(paths)
+    try:
+        yield paths
+    finally:
+        _MADE.reset(token)
+
+
+def forget(paths: list[str], *keep: DataFrame) -> list[str]:
+    """Delete tables by their paths, other than those that `keep` reads, which are returned."""
+    held = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for df in keep for f in df.inputFiles()}
+    left = [p for p in paths if p.rsplit("/", 1)[-1] in held]
+    for p in set(paths) - set(left):
+        _delete(keep[0].sparkSession, p)
+    return left
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-def release(spark: SparkSession, *keep: DataFrame) -> None:
-    """Delete this application's intermediate tables, other than those that `keep` reads. Results that are still to
-    be computed may read them, so write those first."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    held = {f.rsplit("/", 2)[-2] for df in keep for f in df.inputFiles()}
-    for s in fs.listStatus(at) if fs.exists(at) else []:
-        if s.getPath().getName() not in held:
-            fs.delete(s.getPath(), True)
+def release(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables. Results that are still to be computed may read
+    them, so write those first."""
+    _delete(spark, shared_dir(spark))
 
 
 def dropped(*tables: DataFrame) -> None:
@@ -47,6 +68,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     executor costs no more than the tasks it was running."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (paths := _MADE.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -87,3 +110,10 @@ def lookup(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total
     near = marked.where(F.col("__hot")).drop("__hot")
     far = marked.where(F.col("__hot").isNull()).select(*rows.columns)
     return near.unionByName(far.join(keyed.where(F.col(count) <= floor), keys, "left"))
+
+
+def matched(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """`lookup` of the rows whose key stands in `keyed` alone: an inner join."""
+    floor = max(1, total // HOT_PARTS)
+    near = rows.join(F.broadcast(keyed.where(F.col(count) > floor)), keys)
+    return near.unionByName(rows.join(keyed.where(F.col(count) <= floor), keys))
