@@ -146,6 +146,46 @@ def test_near_edges(spark, folder):
     assert near_dedup.keep_one(docs).columns == docs.columns
 
 
+def idf_brute(texts, similar=0.8):
+    """Classes by weights from exact document counts, over all pairs."""
+    sets = [Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := words(t)) else Counter() for t in texts]
+    seen = Counter(g for s in sets for g in s)
+    weight = {g: np.log1p(len(texts) / max(n, len(texts) / near_dedup.RARE)) for g, n in seen.items()}
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] and sets[j]:
+            both = sum(weight[g] * n for g, n in (sets[i] & sets[j]).items())
+            if both >= similar * sum(weight[g] * n for g, n in (sets[i] | sets[j]).items()):
+                root[top(i)] = top(j)
+    out = defaultdict(set)
+    for i in range(len(texts)):
+        out[top(i)].add(i)
+    return {frozenset(x) for x in out.values()}
+
+
+def test_idf_decides_classes(spark, folder):
+    """A passage of most texts: pairs that share little else are alike by plain counts and not by weights; pairs that share rare words
+    and differ in a part of the passage the other way round."""
+    r = random.Random(8)
+    own = lambda n: [f"r{r.randrange(10**9)}" for _ in range(n)]
+    passage = own(100)
+    texts = [" ".join(own(200) + passage + own(200)) for _ in range(120)]
+    common = [" ".join(passage + own(9)) for _ in range(2)]
+    rare = own(60)
+    apart = [" ".join(rare + passage[:30]), " ".join(rare)]
+    texts += common + apart
+    plain, want = brute(texts), idf_brute(texts)
+    a, b = frozenset({120, 121}), frozenset({122, 123})
+    assert a in plain and b not in plain and a not in want and b in want
+    assert classes(queries.op10(spark, folder([(i, t, "s") for i, t in enumerate(texts)])).collect()) == want
+
+
 def made(group, others, seed=3):
     """`group` near copies of one text, and unlike texts that share a passage with it."""
     r = random.Random(seed)
@@ -166,7 +206,7 @@ def test_near_large_group(spark, folder, monkeypatch):
     rows = [(i, t, "s") for i, t in enumerate(texts)]
     want = brute(texts)
     assert classes(queries.op10(spark, folder(rows)).collect()) == want
-    monkeypatch.setattr(near_dedup, "TOGETHER", 3)
+    monkeypatch.setattr(near_dedup, "TOGETHER", 3)  # also the pairs of a leader in a lot
     monkeypatch.setattr(near_dedup, "LEVELS", [(1, 9), (1, 9)])
     got = classes(queries.op10(spark, folder(rows)).collect())
     assert {c for c in got if len(c) > 1} == {c for c in want if len(c) > 1}

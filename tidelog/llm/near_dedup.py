@@ -4,8 +4,10 @@ verified by weighted Jaccard similarity.
 A shingle is five words of letters and digits in lower case; a text of one to four words is one
 shingle. Its weight in a text is how often it stands there times ln(1 + N / documents that have it).
 Document counts come from all documents, by a count-min sketch of fixed size, and are raised to
-N / RARE at least: below that all shingles weigh the same, so the sketch's error, about words a
-document / 2^19 of N, hardly shows. Copies would make the words of a large group look common;
+N / RARE at least, whatever the size of the table. The floor has two reasons: what two copies share stands in two documents and what sets them
+apart in one, which must not by itself make them less alike; and it lies well above the sketch's error, about words a
+document / 2^19 of N. What stands in more documents weighs
+the less the more they are, so texts that share a passage of many texts are not alike for that. Copies would make the words of a large group look common;
 a document therefore counts for 1/n where n documents have a least hash in common with it.
 """
 
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.graph import components
-from tidelog.llm.shared import HOT_PARTS, given_rows, keep_rows, lookup, numbered, spare, stored
+from tidelog.llm.shared import HOT_PARTS, dropped, given_rows, keep_rows, lookup, matched, numbered, spare, stored
 from tidelog.llm.textscan import LETTER, NUMBER, chunks, classes, lower, mix, prefix_hash, runs, span_hash
 
 WORDS = 5
@@ -30,10 +32,10 @@ RARE = 128
 #: Two rows of so many counters; parts in which tasks hand them on.
 WIDTH, PARTS = 1 << 19, 64
 UNIT = 1 << 16
-#: (rows, bands) of the first banding, and of the one that splits what remains of large buckets.
-#: At similarity 0.8 they miss 2, then under 0.1 of a thousand pairs.
+#: (rows, bands) of the first banding, and of the one for rows that the leaders of the first leave open.
+#: At similarity 0.8 they miss 1.6, then 0.1 of a thousand pairs.
 LEVELS = [(3, 9), (7, 40)]
-#: Open members of a bucket, or of two blocks of a larger one, that one task compares.
+#: Rows that one task compares with each other, and that one copy of a leader's text is held against, at most.
 TOGETHER = 1024
 _MUL = [np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1) for i in range(16)]
 
@@ -241,15 +243,22 @@ def buckets(signed: DataFrame, own_order: bool) -> DataFrame:
     rows = stored(signed.where("bands is not null").select("row", F.explode("bands").alias("bucket")), "bands")
     order = F.xxhash64("row", "bucket") if own_order else F.xxhash64("row")
     sums = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("row", F.lit(7)).cast("decimal(20,0)")).alias("members"), F.min(F.struct(order.alias("o"), "row"))["row"].alias("leader"))
-    many = sums.where("n > 1").groupBy("n", "members").agg(F.min(F.struct("bucket", "leader")).alias("b")).select("n", "b.bucket", "b.leader")
-    return rows.join(many.select("bucket", "leader"), "bucket").select("bucket", "row", "leader")
+    many = stored(sums.where("n > 1").groupBy("n", "members").agg(F.min(F.struct("bucket", "leader")).alias("b")).select("n", "b.bucket", "b.leader"), "many")
+    members = stored(matched(rows, many, ["bucket"], "n", rows.count()).select("bucket", "row", "leader"), "members")
+    dropped(rows, many)
+    return members
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
-    """(row, leader, apart) of pairs: one minus weighted Jaccard similarity. The pairs of a leader that has
-    many are a skewed join, whose partitions Spark splits; nothing after it needs them together."""
-    heads = texts.select(F.col("row").alias("leader"), F.col("text").alias("head"))
-    both = pairs.join(texts.hint("merge"), "row").join(heads.hint("merge"), "leader").select("row", "leader", "text", "head")
+    """(row, leader, apart) of pairs: one minus weighted Jaccard similarity. A leader's pairs are dealt to lots of about TOGETHER,
+    each with a copy of its text, so a leader of a third of all rows spreads over tasks like any other."""
+    pairs = stored(pairs, "pairs")
+    of = pairs.groupBy("leader").agg(F.count("*").alias("n"))
+    of = stored(of.withColumn("lots", F.ceil(F.col("n") / float(TOGETHER)).cast("int")), "leaders")
+    dealt = matched(pairs, of, ["leader"], "n", pairs.count()).select("row", "leader", F.pmod(F.xxhash64("row"), "lots").cast("int").alias("lot"))
+    heads = of.select("leader", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+    heads = heads.join(texts.select(F.col("row").alias("leader"), F.col("text").alias("head")).hint("merge"), "leader")
+    both = dealt.join(texts.hint("merge"), "row").join(heads.hint("merge"), ["leader", "lot"]).select("row", "leader", "text", "head")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, head = None, None
@@ -262,7 +271,9 @@ def verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
                 out[i] = 1 - similarity(v, head)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], ["row", "leader", "apart"])
 
-    return both.mapInArrow(verify, "row long, leader long, apart double")
+    checked = stored(both.mapInArrow(verify, "row long, leader long, apart double"), "checked")
+    dropped(pairs, of)
+    return checked
 
 
 def _labels(links: DataFrame) -> DataFrame:
@@ -284,19 +295,21 @@ def _left_over(members: DataFrame, checked: DataFrame, labels: DataFrame, most:
     rows = rows.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
     rows = stored(rows.select("bucket", "row", "apart", "label"), "apart")
     far = F.col("apart") > most
-    stats = rows.groupBy("bucket").agg(F.min(F.when(far, F.col("apart"))).alias("nearest"), F.min(F.when(~far, F.col("label"))).alias("head"), F.min("label").alias("a"), F.max("label").alias("b"))
-    stats = stats.where("nearest is not null and a <> b").select("bucket", "nearest", "head")
-    rows = rows.join(stats, "bucket").where(far | (F.col("apart") >= F.col("nearest") - most))
-    rows = stored(rows.withColumn("label", F.when(~far, F.col("head")).otherwise(F.col("label"))).select("bucket", "row", "apart", "label"), "left")
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("members"), F.min("label").alias("a"), F.max("label").alias("b"))
-    once = sizes.where("a <> b").groupBy("size", "members").agg(F.min("bucket").alias("bucket"))
-    return rows.join(once.select("bucket", "size"), "bucket")
+    stats = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.when(far, F.col("apart"))).alias("nearest"), F.min(F.when(~far, F.col("label"))).alias("head"), F.min("label").alias("a"), F.max("label").alias("b"))
+    stats = stored(stats.where("nearest is not null and a <> b").select("bucket", "n", "nearest", "head"), "stats")
+    open_ = matched(rows, stats, ["bucket"], "n", rows.count()).where(far | (F.col("apart") >= F.col("nearest") - most))
+    open_ = stored(open_.withColumn("label", F.when(~far, F.col("head")).otherwise(F.col("label"))).select("bucket", "row", "apart", "label"), "left")
+    sizes = open_.groupBy("bucket").agg(F.count("*").alias("size"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("members"), F.min("label").alias("a"), F.max("label").alias("b"))
+    once = stored(sizes.where("a <> b").groupBy("size", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "once")
+    left = stored(matched(open_, once, ["bucket"], "size", open_.count()), "rest")
+    dropped(rows, stats, open_, once)
+    return left
 
 
 def _compared(rows: DataFrame, texts: DataFrame, weights, most: float) -> DataFrame:
     """Links (u, v) between the two sides of each group (bucket, one, two), a group in one task:
     rows (bucket, one, two, side, row, apart, label), side 0 before side 1. Rows of one component, and those that
-    distances to the leader rule out, are not compared."""
+    distances to the leader or their total weights rule out, are not compared."""
     group_by = ["bucket", "one", "two"]
     dealt = rows.join(texts.hint("merge"), "row").select(*group_by, "side", "apart", "row", "label", "text").repartition(*group_by).sortWithinPartitions(*group_by, "side", "apart", "row")
 
@@ -316,13 +329,16 @@ def _compared(rows: DataFrame, texts: DataFrame, weights, most: float) -> DataFr
             for *group, side, apart, row, label, vector in zip(*cols, _vectors(b.column(7).to_pylist(), weights.value)):
                 if group != now:
                     now, held, root = group, [], {}
+                whole = float(vector[1].sum())
                 if side:
-                    for other_apart, other, other_label, other_vector in held:
-                        if abs(apart - other_apart) <= most and row != other and top(label) != top(other_label) and 1 - similarity(vector, other_vector) <= most:
+                    for other_apart, other, other_label, other_whole, other_vector in held:
+                        if abs(apart - other_apart) > most or min(whole, other_whole) < (1 - most) * max(whole, other_whole):
+                            continue
+                        if row != other and top(label) != top(other_label) and 1 - similarity(vector, other_vector) <= most:
                             root[top(other_label)] = top(label)
                             out.append((other, row))
                 if side != 1:
-                    held.append((apart, row, label, vector))
+                    held.append((apart, row, label, whole, vector))
             yield _batch(schema, out)
 
     return dealt.mapInArrow(compare, "u long, v long")
@@ -350,27 +366,31 @@ def _in_blocks(large: DataFrame) -> DataFrame:
 
 
 def near_links(texts: DataFrame, signed: DataFrame, weights, similar: float) -> DataFrame:
-    """Links (u, v) from which the classes of rows at least `similar` follow.
+    """Links (u, v) from which the classes of rows at least `similar` follow. The rule is one for buckets of every size.
 
-    In every bucket all rows are held against one leader. What can still link two components in a
-    bucket is compared directly by one task where it is little; where it is much, it is banded
-    anew with more rows a band, and what is then left is compared block by block."""
+    In every bucket all rows are held against one leader. Rows that can still link two components of a bucket
+    are banded anew, with more rows a band, and held against the leaders of these buckets. What is then still open in a
+    bucket is compared with each other: in one task up to TOGETHER rows, else block by block, which finds the same links."""
     most, links = 1 - similar + 1e-12, None
     for level in range(len(LEVELS)):
-        members = stored(buckets(signed, own_order=level > 0), "members")
-        texts = stored(texts.join(members.select("row").distinct().hint("merge"), "row", "left_semi"), "texts")
-        checked = stored(verified(members.where("row <> leader").select("row", "leader").distinct(), texts, weights), "checked")
+        members = buckets(signed, own_order=level > 0)
+        near = stored(texts.join(members.select("row").distinct().hint("merge"), "row", "left_semi"), "texts")
+        checked = verified(members.where("row <> leader").select("row", "leader").distinct(), near, weights)
         found = checked.where(F.col("apart") <= most).select(F.col("row").alias("u"), F.col("leader").alias("v"))
         links = stored(found if links is None else links.unionByName(found), "links")
-        left = stored(_left_over(members, checked, _labels(links), most), "rest")
-        links = stored(links.unionByName(_compared(_together(left), texts, weights, most)), "links")
-        large = left.where(F.col("size") > TOGETHER)
-        if not large.limit(1).count():
+        left = _left_over(members, checked, _labels(links), most)
+        dropped(members, checked)
+        texts = stored(near.join(left.select("row").distinct().hint("merge"), "row", "left_semi"), "texts")
+        dropped(near)
+        if not left.limit(1).count():
             return links
         if level + 1 < len(LEVELS):
-            texts = stored(texts.join(large.select("row").distinct().hint("merge"), "row", "left_semi"), "texts")
             signed = signatures(texts.withColumn("id", F.lit(None).cast("long")), weights, level + 1)
-    return stored(links.unionByName(_compared(_in_blocks(large), texts, weights, most)), "links")
+    large = left.where(F.col("size") > TOGETHER)
+    links = links.unionByName(_compared(_together(left), texts, weights, most))
+    if large.limit(1).count():
+        links = links.unionByName(_compared(_in_blocks(large), texts, weights, most))
+    return stored(links, "links")
 
 
 def near_dedup(docs: DataFrame, similar: float = SIMILAR, text: str = "text", key: str = "doc_id", row: str | None = None) -> DataFrame:
