@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import given_rows, keep_rows, lookup, numbered, spare, stored
+from tidelog.llm.shared import dropped, given_rows, keep_rows, lookup, numbered, spare, stored
 
 #: Deleted before texts are compared: the characters of [\x20\x09-\x0D].
 BLANK = b" \t\n\x0b\x0c\r"
@@ -43,7 +43,6 @@ class Directory:
     def __init__(self, leaves: list[Leaf]):
         self.leaves = sorted(leaves, key=lambda x: x.low)
         self.lows = np.array([x.low for x in self.leaves], np.uint64)
-        self.global_depth = max(x.depth for x in leaves)
 
     def bucket(self, keys: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.lows, keys, "right") - 1
@@ -103,7 +102,7 @@ def exact_dedup(docs: DataFrame, capacity: int = 4096, text: str = "text", key:
     the most code points, then the smallest key, then the earliest row stays.
 
     1. Index entries (row, key, 64-bit hash, SHA-256, code points), without texts, go to a
-       shared file. 2. The directory is grown from counts of hash prefixes. 3. Each task
+       shared file. 2. The directory is grown from counts of the prefixes of distinct hashes. 3. Each task
        collapses the copies that it reads, so a group that holds a third of all rows costs one row per task,
        and sends the texts to the owner of their bucket, which reads its key range in order, chains
        the texts of equal hash and compares bytes. 4. Entries get their group's result; groups
@@ -126,7 +125,9 @@ def exact_dedup(docs: DataFrame, capacity: int = 4096, text: str = "text", key:
 
     entries = stored(given.mapInArrow(enter, f"row long, id {kind}, key long, sha binary, n_chars long"), "index")
     total = entries.count()
-    index = directory(entries, total, capacity)
+    keys = stored(entries.select("key").distinct(), "keys")  # copies collapse before buckets see them, so a large group is one entry
+    index = directory(keys, keys.count(), capacity)
+    dropped(keys)
     shape = f"bucket int, key long, norm binary, n long, n_chars long, id {kind}, row long"
 
     def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
