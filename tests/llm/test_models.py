@@ -315,6 +315,16 @@ def test_search_does_not_depend_on_the_deal(spark, folder, rng, monkeypatch, par
     assert run() == want and len(want) == 10 * 60
 
 
+def test_search_beside_clashing_columns(spark, rng):
+    names = ["row", "id", "v", "asks", "part", "group", "split", "side", "block", "ask", "near", "rank", "score", "query_id", "uses"]
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(30)]
+    plain = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    run = lambda df: df.orderBy("query_id", "rank").collect()
+    wide = plain.selectExpr("*", *(f"-1 AS {n}" for n in names))
+    want = run(neighbours.nearest(plain, plain.vec_id % 10 == 0, k=3, books=4))
+    assert run(neighbours.nearest(wide, wide.vec_id % 10 == 0, k=3, books=4)) == want and len(want) == 9
+
+
 def test_lengths_of_any_size():
     x = np.array([[3e200, 4e200], [3e-200, 4e-200], [3.0, 4.0], [-5e-324, 0.0]])
     assert np.allclose(neighbours.lengths(x)[:3] / [5e200, 5e-200, 5], 1) and neighbours.lengths(x)[3] == 5e-324
