@@ -238,27 +238,25 @@ def signatures(rows: DataFrame, weights, level: int) -> DataFrame:
 
 
 def buckets(signed: DataFrame, own_order: bool) -> DataFrame:
-    """(bucket, row, leader) of buckets of several rows; buckets with the same members count once.
+    """(bucket, row, leader, n) of buckets of n rows, several; buckets with the same members count once.
     The leader is the first row in a shuffled order, the same for all buckets or one of each bucket."""
     rows = stored(signed.where("bands is not null").select("row", F.explode("bands").alias("bucket")), "bands")
     order = F.xxhash64("row", "bucket") if own_order else F.xxhash64("row")
     sums = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("row", F.lit(7)).cast("decimal(20,0)")).alias("members"), F.min(F.struct(order.alias("o"), "row"))["row"].alias("leader"))
     many = stored(sums.where("n > 1").groupBy("n", "members").agg(F.min(F.struct("bucket", "leader")).alias("b")).select("n", "b.bucket", "b.leader"), "many")
-    members = stored(matched(rows, many, ["bucket"], "n", rows.count()).select("bucket", "row", "leader"), "members")
+    members = stored(matched(rows, many, ["bucket"], "n", rows.count()).select("bucket", "row", "leader", "n"), "members")
     dropped(rows, many)
     return members
 
 
-def verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
-    """(row, leader, apart) of pairs: one minus weighted Jaccard similarity. A leader's pairs are dealt to lots of about TOGETHER,
-    each with a copy of its text, so a leader of a third of all rows spreads over tasks like any other."""
-    pairs = stored(pairs, "pairs")
-    of = pairs.groupBy("leader").agg(F.count("*").alias("n"))
-    of = stored(of.withColumn("lots", F.ceil(F.col("n") / float(TOGETHER)).cast("int")), "leaders")
-    dealt = matched(pairs, of, ["leader"], "n", pairs.count()).select("row", "leader", F.pmod(F.xxhash64("row"), "lots").cast("int").alias("lot"))
-    heads = of.select("leader", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+def verified(members: DataFrame, texts: DataFrame, weights) -> DataFrame:
+    """(row, leader, apart) of members and their leaders: one minus weighted Jaccard similarity. A bucket's pairs are dealt to lots of about TOGETHER,
+    each with a copy of the leader's text, so a leader of a third of all rows spreads over tasks like any other."""
+    pairs = members.where("row <> leader").groupBy("row", "leader").agg(F.max(F.ceil(F.col("n") / float(TOGETHER))).cast("int").alias("lots"))
+    pairs = stored(pairs.withColumn("lot", F.pmod(F.xxhash64("row"), "lots").cast("int")), "pairs")
+    heads = pairs.groupBy("leader").agg(F.max("lots").alias("lots")).select("leader", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
     heads = heads.join(texts.select(F.col("row").alias("leader"), F.col("text").alias("head")).hint("merge"), "leader")
-    both = dealt.join(texts.hint("merge"), "row").join(heads.hint("merge"), ["leader", "lot"]).select("row", "leader", "text", "head")
+    both = pairs.join(texts.hint("merge"), "row").join(heads.hint("merge"), ["leader", "lot"]).select("row", "leader", "text", "head")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, head = None, None
@@ -272,7 +270,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], ["row", "leader", "apart"])
 
     checked = stored(both.mapInArrow(verify, "row long, leader long, apart double"), "checked")
-    dropped(pairs, of)
+    dropped(pairs)
     return checked
 
 
@@ -375,7 +373,7 @@ def near_links(texts: DataFrame, signed: DataFrame, weights, similar: float) ->
     for level in range(len(LEVELS)):
         members = buckets(signed, own_order=level > 0)
         near = stored(texts.join(members.select("row").distinct().hint("merge"), "row", "left_semi"), "texts")
-        checked = verified(members.where("row <> leader").select("row", "leader").distinct(), near, weights)
+        checked = verified(members, near, weights)
         found = checked.where(F.col("apart") <= most).select(F.col("row").alias("u"), F.col("leader").alias("v"))
         links = stored(found if links is None else links.unionByName(found), "links")
         left = _left_over(members, checked, _labels(links), most)

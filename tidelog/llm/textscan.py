@@ -12,7 +12,7 @@ from functools import cache
 
 import numpy as np
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: The code points with Unicode's White_Space property.
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
