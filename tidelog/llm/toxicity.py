@@ -422,6 +422,8 @@ def learned(rows: Held | Stored) -> Grammar:
         w -= step * min(1, 2 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-8:
             break
+    for bare in (PLACE[INSULT], PLACE[THREAT]):  # a target never takes off
+        w[bare + 6] = max(w[bare + 6], w[bare])
     grammar.weights, grammar.bias = w[:-1], float(w[-1])
     return grammar
 
@@ -454,7 +456,7 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, threshold: float = 0.7, ke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, end, cps, bounds in chunks(b.column(1).to_pylist()):
+            for first, end, cps, bounds in chunks(b.column(1)):
                 m = grammar.matches(cps, bounds)
                 s = grammar.score(m)
                 arrays = [b.column(0).slice(first, end - first), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(list(m), pa.list_(pa.float64()))]
@@ -470,7 +472,7 @@ def keep_clean(docs: DataFrame, grammar: Grammar, threshold: float = 0.7, text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            stay = [grammar.score(grammar.matches(cps, bounds)) < threshold for _, _, cps, bounds in chunks(b.column(at).to_pylist())]
+            stay = [grammar.score(grammar.matches(cps, bounds)) < threshold for _, _, cps, bounds in chunks(b.column(at))]
             yield b.filter(pa.array(np.concatenate(stay))) if stay else b
 
     return docs.mapInArrow(run, docs.schema)
