@@ -146,7 +146,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
-def _vectors(texts: list[str], weights: Weights) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _vectors(texts: list[str] | pa.Array, weights: Weights) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Shingles and weights of each text."""
     for _, _, cps, bounds in chunks(texts):
         doc, h, times = shingles(cps, bounds)
@@ -166,7 +166,7 @@ def document_weights(rows: DataFrame, total: int) -> Weights:
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, cps, bounds in chunks(b.column(0).to_pylist()):
+            for _, _, cps, bounds in chunks(b.column(0)):
                 doc, h, _ = shingles(cps, bounds)
                 _, at = _starts(doc)
                 if len(at):
@@ -178,7 +178,7 @@ def document_weights(rows: DataFrame, total: int) -> Weights:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, documents = np.zeros(2 * WIDTH, np.int64), 0
         for b in batches:
-            for _, _, cps, bounds in chunks(b.column(0).to_pylist()):
+            for _, _, cps, bounds in chunks(b.column(0)):
                 doc, h, _ = shingles(cps, bounds)
                 own, at = _starts(doc)
                 if not len(at):
@@ -220,7 +220,7 @@ def signatures(rows: DataFrame, weights, level: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for low, high, cps, bounds in chunks(b.column(2).to_pylist()):
+            for low, high, cps, bounds in chunks(b.column(2)):
                 doc, h, times = shingles(cps, bounds)
                 own, at = _starts(doc)
                 keys = [None] * (high - low)
@@ -263,7 +263,7 @@ def verified(members: DataFrame, texts: DataFrame, weights) -> DataFrame:
         for b in batches:
             rows, leaders, heads = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3)
             out = np.zeros(len(rows))
-            for i, v in enumerate(_vectors(b.column(2).to_pylist(), weights.value)):
+            for i, v in enumerate(_vectors(b.column(2), weights.value)):
                 if leaders[i] != now:
                     now, head = leaders[i], next(_vectors([heads[i].as_py()], weights.value))
                 out[i] = 1 - similarity(v, head)
@@ -324,7 +324,7 @@ def _compared(rows: DataFrame, texts: DataFrame, weights, most: float) -> DataFr
         for b in batches:
             out: list[tuple[int, int]] = []
             cols = [c.to_pylist() for c in b.columns[:-1]]
-            for *group, side, apart, row, label, vector in zip(*cols, _vectors(b.column(7).to_pylist(), weights.value)):
+            for *group, side, apart, row, label, vector in zip(*cols, _vectors(b.column(7), weights.value)):
                 if group != now:
                     now, held, root = group, [], {}
                 whole = float(vector[1].sum())

@@ -127,7 +127,7 @@ class Discriminant:
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for first, end, cps, bounds in chunks(b.column(0).to_pylist()):
+        for first, end, cps, bounds in chunks(b.column(0)):
             yield pa.RecordBatch.from_arrays([pa.array(list(statistics(cps, bounds)), pa.list_(pa.float64())), b.column(1).slice(first, end - first)], ["x", "label"])
 
 
@@ -149,7 +149,7 @@ def score_quality(docs: DataFrame, model: Discriminant | None, threshold: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, end, cps, bounds in chunks(b.column(1).to_pylist()):
+            for first, end, cps, bounds in chunks(b.column(1)):
                 s = model.score(statistics(cps, bounds)) if model else np.full(end - first, 0.5)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array(s), pa.array((s >= threshold).astype(np.int32))], [key, "score", "predicted"])
 

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = 1 << 18
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -43,19 +45,22 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, end, code points, bounds): documents first..end-1 lie at bounds[i]..bounds[i+1]."""
+def chunks(texts: list[str | None] | pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, end, code points, bounds): documents first..end-1 lie at bounds[i]..bounds[i+1]. Of an Arrow column only
+    a chunk's texts are Python strings at a time."""
+    held = isinstance(texts, list)
+    lens = [len(t) if t else 0 for t in texts] if held else pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
     first, size = 0, 0
-    lens = [len(t) if t else 0 for t in texts]
-    for i in range(len(texts) + 1):
-        if i == len(texts) or size and size + lens[i] > CHUNK:
+    for i in range(len(lens) + 1):
+        if i == len(lens) or size and size + lens[i] > CHUNK:
             if i > first:
-                raw = "".join(t or "" for t in texts[first:i]).encode("utf-32-le", "surrogatepass")
+                part = texts[first:i] if held else texts.slice(first, i - first).to_pylist()
+                raw = "".join(t or "" for t in part).encode("utf-32-le", "surrogatepass")
                 bounds = np.zeros(i - first + 1, np.int64)
                 np.cumsum(lens[first:i], out=bounds[1:])
                 yield first, i, np.frombuffer(raw, np.uint32), bounds
             first, size = i, 0
-        if i < len(texts):
+        if i < len(lens):
             size += lens[i]
 
 
